@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -178,18 +179,67 @@ def mean(family: str, shape: float, scale: float) -> float:
     return scale * math.exp(0.5 * shape * shape)
 
 
+_NORMAL = NormalDist()
+
+
+def norm_ppf(u: np.ndarray) -> np.ndarray:
+    return np.array([_NORMAL.inv_cdf(v) for v in np.ravel(u)]).reshape(np.shape(u))
+
+
 def ppf(family: str, u: np.ndarray, shape: float, scale: float) -> np.ndarray:
-    """Quantiles: closed form for Weibull, bisection on the CDF otherwise."""
+    """Quantiles: closed form for Weibull and lognormal, guarded Newton for gamma."""
     if family == "weibull":
         return scale * (-np.log1p(-u)) ** (1.0 / shape)
-    lo = np.full(u.shape, -745.0)
-    hi = np.full(u.shape, 60.0)
-    for _ in range(80):
-        mid = 0.5 * (lo + hi)
-        below = cdf(family, np.exp(mid) * scale, shape, scale) < u
-        lo = np.where(below, mid, lo)
-        hi = np.where(below, hi, mid)
-    return np.exp(0.5 * (lo + hi)) * scale
+    z = norm_ppf(u)
+    if family == "lognormal":
+        return scale * np.exp(shape * z)
+    start = shape * np.maximum(1.0 - 1.0 / (9.0 * shape) + z / (3.0 * math.sqrt(shape)), 1e-3) ** 3
+    lo, hi = np.zeros_like(start), np.full_like(start, np.inf)
+    x = start
+    for _ in range(30):
+        f = gamma_p(shape, x) - u
+        lo = np.where(f < 0, x, lo)
+        hi = np.where(f >= 0, x, hi)
+        pdf = np.exp((shape - 1) * np.log(x) - x - math.lgamma(shape))
+        step = np.where(pdf > 0, f / np.maximum(pdf, 1e-300), 0.0)
+        new = x - step
+        outside = (new <= lo) | (new >= hi)
+        fallback = np.where(np.isinf(hi), 2.0 * x, 0.5 * (lo + hi))
+        new = np.where(outside, fallback, new)
+        if np.all(np.abs(new - x) <= 1e-12 * x):
+            x = new
+            break
+        x = new
+    return x * scale
+
+
+def _log_norm_cdf(x: np.ndarray) -> np.ndarray:
+    """log of the normal CDF, by its asymptotic tail far to the left."""
+    far = x < -30.0
+    safe = np.where(far, 0.0, x)
+    tail = np.where(far, x, -30.0)
+    return np.where(far, -0.5 * tail * tail - np.log(-tail) - 0.5 * math.log(2 * math.pi), np.log(np.maximum(norm_cdf(safe), 1e-300)))
+
+
+def first_passage_probability(opening: np.ndarray, mu: np.ndarray, sigma: np.ndarray, horizon: float) -> np.ndarray:
+    """P(a daily random walk reaches zero within the horizon).
+
+    Closed form for Brownian motion with the barrier moved by 0.5826 sigma, which
+    corrects for looking once a day.
+    """
+    x = opening + 0.5826 * sigma
+    s = sigma * math.sqrt(horizon)
+    direct = norm_cdf((-x - mu * horizon) / s)
+    mirrored = np.exp(np.minimum(0.0, -2.0 * mu * x / sigma**2 + _log_norm_cdf((-x + mu * horizon) / s)))
+    return np.where(opening <= 0, 1.0, np.clip(direct + mirrored, 0.0, 1.0))
+
+
+def first_passage_udf(horizon: float):
+    @F.pandas_udf(DoubleType())
+    def probability(opening: pd.Series, mu: pd.Series, sigma: pd.Series) -> pd.Series:
+        return pd.Series(first_passage_probability(opening.to_numpy(float), mu.to_numpy(float), sigma.to_numpy(float), horizon))
+
+    return probability
 
 
 @F.pandas_udf(DoubleType())

@@ -236,7 +236,7 @@ def linear_attribution(features: DataFrame, scaler: Mapping[str, tuple[float, fl
         con = z * c
         parts.append(
             F.struct(
-                (-F.abs(con)).alias("sort"), F.lit(i).alias("no"), F.lit(f).alias("feature"), F.col(f).alias("value"),
+                (-F.round(F.abs(con), 9)).alias("sort"), F.lit(i).alias("no"), F.lit(f).alias("feature"), F.col(f).alias("value"),
                 con.alias("contribution"), (z * lo).alias("ci_lower"), (z * hi).alias("ci_upper"),
                 F.when(con > 0, "increases_risk").otherwise("decreases_risk").alias("direction"),
             )

@@ -209,8 +209,8 @@ def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["family", "shape", "scale", "log_likelihood", "aic", "ks_statistic", "ks_pvalue"])
     out["selected"] = out["aic"] == out["aic"].min()
     out["mean_delay"] = [special.mean(f, a, b) for f, a, b in zip(out.family, out["shape"], out["scale"])]
-    for name, p in (("median_delay", 0.5), ("p90_delay", 0.9)):
-        out[name] = [float(special.ppf(f, np.array([p]), a, b)[0]) for f, a, b in zip(out.family, out["shape"], out["scale"])]
+    q = [special.ppf(f, np.array([0.5, 0.9]), a, b) for f, a, b in zip(out.family, out["shape"], out["scale"])]
+    out["median_delay"], out["p90_delay"] = [float(v[0]) for v in q], [float(v[1]) for v in q]
     for name, day in (("p_within_7", 7.0), ("p_within_30", 30.0)):
         out[name] = [float(special.cdf(f, np.array([day]), a, b)[0]) for f, a, b in zip(out.family, out["shape"], out["scale"])]
     out.insert(0, "n_observations", int(n))

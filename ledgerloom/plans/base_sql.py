@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-AS_OF = "2000-06-30"
+AS_OF = "1997-06-30"
 HORIZON = 90
 SCENARIOS = 100
 STEP_DAYS = 30

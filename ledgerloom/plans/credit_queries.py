@@ -149,10 +149,10 @@ LINEAR = {"prior_default_rate": (1.5, 1.1, 1.9), "mean_prior_delay": (0.4, 0.1,
           "max_prior_delay": (0.3, 0.0, 0.6), "delay_trend": (0.25, -0.05, 0.55), "n_prior_invoices": (-0.1, -0.3, 0.1),
           "days_since_last_invoice": (0.15, -0.1, 0.4), "log_amount": (0.35, 0.05, 0.65),
           "amount_vs_counterparty_mean": (0.05, -0.2, 0.3), "payment_terms_days": (0.45, 0.2, 0.7)}
-SCALES = {"prior_default_rate": (0.13, 0.08), "mean_prior_delay": (30.0, 6.0), "std_prior_delay": (12.0, 4.0),
-          "max_prior_delay": (50.0, 9.0), "delay_trend": (0.0, 1.5), "n_prior_invoices": (26.0, 15.0),
-          "days_since_last_invoice": (48.0, 50.0), "log_amount": (12.0, 0.9),
-          "amount_vs_counterparty_mean": (1.0, 0.6), "payment_terms_days": (37.5, 16.8)}
+SCALES = {"prior_default_rate": (0.1313, 0.0813), "mean_prior_delay": (30.0, 6.0), "std_prior_delay": (12.0, 4.0),
+          "max_prior_delay": (50.0, 9.0), "delay_trend": (0.03, 1.517), "n_prior_invoices": (26.0, 15.0),
+          "days_since_last_invoice": (48.3, 51.7), "log_amount": (12.0, 0.9),
+          "amount_vs_counterparty_mean": (1.0, 0.6), "payment_terms_days": (37.7, 16.77)}
 INTERCEPT = -1.9
 
 

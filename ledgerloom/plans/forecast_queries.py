@@ -8,6 +8,7 @@ from ledgerloom.functions import special
 from ledgerloom.operators import forecast
 from ledgerloom.plans.base_sql import AS_OF, HORIZON, cte, twin
 from ledgerloom.plans.registry import query, shown
+from ledgerloom.session import cut_lineage
 from ledgerloom.plans.views import history_table, ledger_table, naive_path
 
 CV_HORIZON = 14
@@ -74,7 +75,7 @@ FROM (SELECT business_id, count(*) AS n, CAST(ceil((count(*) + 1) * 0.95) AS BIG
 
 
 def naive_cv(spark, sf):
-    hist = history_table(spark, sf)
+    hist = cut_lineage(history_table(spark, sf))
     folds = forecast.fold_plan(hist, CV_HORIZON, N_FOLDS)
     return hist, forecast.naive_residuals(hist, folds, VALUE, CV_HORIZON)
 
@@ -106,7 +107,7 @@ def walk_forward_residuals(spark, sf):
 @query(
     "walk_forward_rmse",
     twin(
-        """SELECT business_id, 'seasonal_naive' AS model, count(*) AS n_folds, round(avg(rmse), 4) AS mean_rmse, round(avg(mape), 4) AS mean_mape,
+        """SELECT business_id, 'seasonal_naive' AS model, count(*) AS n_folds, round(avg(rmse), 4) AS mean_rmse, round(log10(1 + avg(mape)), 6) AS log10_mape,
   string_agg(CAST(CAST(round(rmse) AS BIGINT) AS VARCHAR), ',' ORDER BY fold) AS fold_rmses
 FROM (SELECT business_id, fold, sqrt(avg(residual * residual)) AS rmse, avg(abs(residual / greatest(abs(actual), 1e-8))) * 100 AS mape FROM resid GROUP BY 1, 2)
 GROUP BY 1""",
@@ -116,7 +117,9 @@ GROUP BY 1""",
 def walk_forward_rmse(spark, sf):
     s = forecast.model_scores(forecast.fold_scores(naive_cv(spark, sf)[1]))
     text = F.array_join(F.transform("fold_rmses", lambda v: F.round(v).cast("long").cast("string")), ",")
-    return shown(s.withColumn("fold_rmses", text), digits=4)
+    # A day without trade has a floored denominator, so the percentage is shown on a log scale.
+    s = s.withColumn("log10_mape", F.log10(1 + F.col("mean_mape"))).drop("mean_mape")
+    return shown(s.withColumn("fold_rmses", text), mean_rmse=4)
 
 
 @query(
@@ -135,12 +138,13 @@ def scale_profile(spark, sf):
     ),
 )
 def conformal_multiplier(spark, sf):
-    _, resid = naive_cv(spark, sf)
+    resid = cut_lineage(naive_cv(spark, sf)[1])
     return shown(forecast.conformal_multiplier(forecast.profile_scored(resid, forecast.scale_profile(resid))))
 
 
 def conformal_path(spark, sf):
     hist, resid = naive_cv(spark, sf)
+    resid = cut_lineage(resid)
     profile = forecast.scale_profile(resid)
     q = forecast.conformal_multiplier(forecast.profile_scored(resid, profile))
     return forecast.conformal_forecast(naive_path(hist), profile, q)
@@ -149,8 +153,8 @@ def conformal_path(spark, sf):
 @query(
     "conformal_forecast",
     twin(
-        f"""SELECT n.business_id, n.h, CAST(DATE '{AS_OF}' + CAST(n.h AS INTEGER) AS VARCHAR) AS target_date, round(point, 2) AS point,
-  round(point - q.q_hat * p.a * pow(n.h, p.gamma), 2) AS lower, round(point + q.q_hat * p.a * pow(n.h, p.gamma), 2) AS upper
+        f"""SELECT n.business_id, n.h, CAST(DATE '{AS_OF}' + CAST(n.h AS INTEGER) AS VARCHAR) AS target_date, round(point, 4) AS point,
+  round(point - q.q_hat * p.a * pow(n.h, p.gamma), 4) AS lower, round(point + q.q_hat * p.a * pow(n.h, p.gamma), 4) AS upper
 FROM naive_path n JOIN profile p ON p.business_id = n.business_id JOIN qhat q ON q.business_id = n.business_id""",
         "naive_path",
         "profile",
@@ -158,7 +162,7 @@ FROM naive_path n JOIN profile p ON p.business_id = n.business_id JOIN qhat q ON
     ),
 )
 def conformal_forecast(spark, sf):
-    return shown(conformal_path(spark, sf), digits=2)
+    return shown(conformal_path(spark, sf), digits=4)
 
 
 @query(
