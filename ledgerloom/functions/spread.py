@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut_lineage
+
 BLOCK_ROWS = 65_536
 HOT_SHARE = 1_000
 
@@ -97,8 +99,10 @@ def lookup_join(
 
     ``weight`` is the number of fact rows per key.  Keys above 1/1000 of all rows
     number fewer than 1000, so that part is broadcast with a proven bound; the rest
-    is shuffled, with the already answered hot rows scattered by a row hash.
+    is shuffled, with the already answered hot rows scattered by a row hash.  The
+    per-key table is read three times, so it is written once first.
     """
+    lookup = cut_lineage(lookup)
     payload = [c for c in lookup.columns if c not in keys and c != weight]
     total = lookup.agg(F.sum(weight).alias("_total"))
     sized = lookup.crossJoin(F.broadcast(total))
