@@ -159,8 +159,9 @@ def choose_date_column(types: DataFrame, formats: DataFrame, header_cells: DataF
 def candidate_mappings(types: DataFrame, date_columns: DataFrame) -> DataFrame:
     """Every way to read balance and amounts from the typed columns.
 
-    Columns of a file are few.  When some numeric column is complete, only complete
-    columns are tried as the balance: a mapping without a usable balance can then never win.
+    Columns of a file are few.  When a complete numeric column stands beside another numeric
+    one, only complete columns are tried as the balance: a mapping without a usable balance
+    can then never win.
     """
     t = types.join(date_columns.select("file_id", "date_idx"), "file_id").filter(F.col("col_idx") != F.col("date_idx"))
     idx = F.col("col_idx").cast("long")
@@ -171,7 +172,7 @@ def candidate_mappings(types: DataFrame, date_columns: DataFrame) -> DataFrame:
         F.max("n_rows").alias("n_rows"),
     ).filter(F.size("num") > 0)
     none = F.lit(None).cast("long")
-    bal = F.when(F.size("full") > 0, F.col("full")).otherwise(F.array(none))
+    bal = F.when((F.size("full") > 0) & (F.size("num") > 1), F.col("full")).otherwise(F.array(none))
     opts = per_file.select("file_id", "n_rows", "num", "ind", F.explode(bal).alias("bal")).withColumn(
         "pool", F.filter("num", lambda x: F.col("bal").isNull() | (x != F.col("bal")))
     )

@@ -155,10 +155,9 @@ _FMT = [("Y-m-d", "%Y-%m-%d"), ("Y/m/d", "%Y/%m/%d"), ("d-b-Y", "%d-%b-%Y"), ("d
 cte(
     "formats",
     """SELECT file_id, col_idx, no, fmt, bool_and(coalesce(d >= p, TRUE)) AS ordered FROM (
-  SELECT file_id, col_idx, no, fmt, d, lag(d) OVER (PARTITION BY file_id, col_idx, no ORDER BY row_idx) AS p FROM (
-    SELECT c.file_id, c.col_idx, c.row_idx, f.no, f.fmt, try_strptime(trim(c.cell), f.pat) AS d FROM cells c CROSS JOIN ("""
-    + " UNION ALL ".join(f"SELECT {i} AS no, '{n}' AS fmt, '{p}' AS pat" for i, (n, p) in enumerate(_FMT))
-    + """) f WHERE trim(c.cell) <> '')) GROUP BY 1, 2, 3, 4 HAVING count(d) = count(*)""",
+  SELECT file_id, col_idx, no, fmt, d, lag(d) OVER (PARTITION BY file_id, col_idx, no ORDER BY row_idx) AS p FROM ("""
+    + " UNION ALL ".join(f"SELECT file_id, col_idx, row_idx, {i} AS no, '{n}' AS fmt, try_strptime(trim(cell), '{p}') AS d FROM cells WHERE trim(cell) <> ''" for i, (n, p) in enumerate(_FMT))
+    + """)) GROUP BY 1, 2, 3, 4 HAVING count(d) = count(*)""",
     "cells",
 )
 cte(
@@ -181,7 +180,8 @@ cte(
     """
 SELECT n.file_id, n.bal, c.convention, c.debit, c.credit, c.amount, c.indicator FROM (
   SELECT f.file_id, b.col_idx AS bal FROM (SELECT DISTINCT file_id FROM col_types) f
-  LEFT JOIN (SELECT file_id, col_idx FROM col_types WHERE col_idx > 0 AND nf > 0.95 AND ff > 0 AND NOT ind AND full_col) b ON b.file_id = f.file_id) n
+  LEFT JOIN (SELECT file_id, col_idx FROM col_types WHERE col_idx > 0 AND nf > 0.95 AND ff > 0 AND NOT ind AND full_col
+    AND file_id IN (SELECT file_id FROM nums GROUP BY 1 HAVING count(*) > 1)) b ON b.file_id = f.file_id) n
 JOIN (SELECT a.file_id, 'separate_debit_credit' AS convention, a.col_idx AS debit, b.col_idx AS credit, NULL AS amount, NULL AS indicator
       FROM nums a JOIN nums b ON a.file_id = b.file_id AND a.col_idx <> b.col_idx
       UNION ALL SELECT file_id, 'signed_single_column', NULL, NULL, col_idx, NULL FROM nums
