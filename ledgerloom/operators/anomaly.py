@@ -103,14 +103,32 @@ def dbscan(points: DataFrame, id_col: str, dims: Sequence[str], eps: float = 0.5
     flagged = placed.join(counts, placed.id == counts.q_id, "left")
     cores = cut_lineage(flagged.select("id", *[f"x{i}" for i in range(d)], *g, ((F.col("n") >= min_samples) | (F.coalesce("near", F.lit(0)) >= min_samples)).alias("core")))
     core_pts = cores.filter("core")
-    # cells are linked when some core pair is close: coordinates are deduplicated first
-    reps = core_pts.groupBy(*g, *[f"x{i}" for i in range(d)]).agg(F.min("id").alias("id"))
-    left = reps.select(*[F.col(f"x{i}").alias(f"a_x{i}") for i in range(d)], *[F.col(c).alias(f"a_{c}") for c in g], F.explode(around).alias("s")).select(
-        *[f"a_x{i}" for i in range(d)], *[f"a_{c}" for c in g], *[(F.col(f"a_g{i}") + F.col(f"s.s{i}")).alias(f"g{i}") for i in range(d)]
+    # Two cells are linked when some core pair is close.  Occupied sub-cells (a bounded number
+    # per cell) settle most cell pairs from their corners; only the others compare points.
+    parts = 4
+    sub = [F.floor((F.col(f"x{i}") - F.col(f"g{i}") * side) / side * parts).cast("long") for i in range(d)]
+    subbed = core_pts.select(*g, *[f"x{i}" for i in range(d)], *[(F.col(f"g{i}") * parts + F.least(F.greatest(sub[i], F.lit(0)), F.lit(parts - 1))).alias(f"t{i}") for i in range(d)]).distinct()
+    subbed = cut_lineage(subbed)
+    boxes = subbed.groupBy(*g, *[f"t{i}" for i in range(d)]).agg(
+        *[F.min(f"x{i}").alias(f"lo{i}") for i in range(d)], *[F.max(f"x{i}").alias(f"hi{i}") for i in range(d)]
+    )
+    box = [f"{k}{i}" for k in ("t", "lo", "hi") for i in range(d)]
+    moved = boxes.select(*[F.col(c).alias(f"a_{c}") for c in g + box], F.explode(around).alias("s")).select(
+        *[f"a_{c}" for c in g + box], *[(F.col(f"a_g{i}") + F.col(f"s.s{i}")).alias(f"g{i}") for i in range(d)]
     )
     forward = F.struct(*[F.col(f"a_{c}") for c in g]) < F.struct(*[F.col(c) for c in g])
-    right = reps.select(*[F.col(f"x{i}").alias(f"b_x{i}") for i in range(d)], *g)
-    links = left.join(right, g).filter(forward & close("a_", "b_")).select(*[F.col(f"a_{c}") for c in g], *g).distinct()
+    met_boxes = moved.join(boxes.select(*g, *[F.col(c).alias(f"b_{c}") for c in box]), g).filter(forward)
+    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"a_lo{i}") - F.col(f"b_hi{i}"), F.col(f"b_lo{i}") - F.col(f"a_hi{i}")), F.lit(2.0)) for i in range(d)), F.lit(0.0))
+    spread = sum((F.pow(F.greatest(F.abs(F.col(f"a_hi{i}") - F.col(f"b_lo{i}")), F.abs(F.col(f"b_hi{i}") - F.col(f"a_lo{i}"))), F.lit(2.0)) for i in range(d)), F.lit(0.0))
+    slack = 1e-12
+    judged = cut_lineage(met_boxes.filter(gap <= eps * eps + slack).withColumn("sure", spread <= eps * eps - slack))
+    pair = [*[f"a_{c}" for c in g], *g]
+    sure = judged.filter("sure").select(*pair).distinct()
+    open_boxes = judged.filter("NOT sure").join(sure, pair, "left_anti").select(*pair, *[f"a_t{i}" for i in range(d)], *[f"b_t{i}" for i in range(d)])
+    side_a = subbed.select(*[F.col(f"g{i}").alias(f"a_g{i}") for i in range(d)], *[F.col(f"t{i}").alias(f"a_t{i}") for i in range(d)], *[F.col(f"x{i}").alias(f"a_x{i}") for i in range(d)])
+    side_b = subbed.select(*g, *[F.col(f"t{i}").alias(f"b_t{i}") for i in range(d)], *[F.col(f"x{i}").alias(f"b_x{i}") for i in range(d)])
+    compared = open_boxes.join(side_a, [*[f"a_{c}" for c in g], *[f"a_t{i}" for i in range(d)]]).join(side_b, [*g, *[f"b_t{i}" for i in range(d)]])
+    links = cut_lineage(sure.unionByName(compared.filter(close("a_", "b_")).select(*pair).distinct()))
     ids = core_pts.groupBy(*g).agg(F.min("id").alias("label"))
     cell_no = cut_lineage(ids)
     a = cell_no.select(*[F.col(c).alias(f"a_{c}") for c in g], F.col("label").alias("u"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +49,12 @@ def _chain(batches):
     heads: dict = {}
     for pdf in batches:
         prev_col, hash_col = [], []
-        for r in pdf.itertuples(index=False):
-            prev = heads.get(r.chain_id, r._head)
-            body = r._before + prev + r._after
-            digest = hashlib.sha256(body.encode("utf-8")).hexdigest()
+        for chain, stored, before, after in zip(pdf["chain_id"], pdf["_head"], pdf["_before"], pdf["_after"]):
+            prev = heads.get(chain, stored)
+            digest = hashlib.sha256((before + prev + after).encode("utf-8")).hexdigest()
             prev_col.append(prev)
             hash_col.append(digest)
-            heads = {r.chain_id: digest}
+            heads = {chain: digest}
         yield pdf.drop(columns=["_before", "_after", "_head"]).assign(previous_hash=prev_col, entry_hash=hash_col)
 
 
