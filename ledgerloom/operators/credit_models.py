@@ -36,7 +36,7 @@ def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 100):
     scaler = standard_scaler(train)
     data = scaled(train, scaler).select("vec", F.col("label").cast("double").alias("label"))
     n = data.count()
-    model = LogisticRegression(featuresCol="vec", labelCol="label", maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-9).fit(data)
+    model = LogisticRegression(featuresCol="vec", labelCol="label", maxIter=max_iter, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-7).fit(data)
     return scaler, model
 
 

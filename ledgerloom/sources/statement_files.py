@@ -40,7 +40,13 @@ def read_statement_folder(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     text, encoding = decode_bytes(F.col("content"))
     good = files.filter(F.col("length") > 0).select(F.col("path").alias("file_id"), text.alias("text"), encoding.alias("encoding"))
     lines = good.select("file_id", "encoding", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line_no", "line"))
-    empty = files.filter(F.col("length") == 0).select(F.col("path").alias("file_id"), F.lit("empty upload").alias("reject_reason"))
+    # The scan skips zero-byte files, so they are found as listed paths that were not read.
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "file_id string")
+    short = lambda c: F.regexp_replace(c, "^([a-z0-9]+:)/+", "$1/")
+    read = good.select(short("file_id").alias("_p"))
+    empty = (
+        listed.withColumn("_p", short("file_id")).join(read, "_p", "left_anti").select("file_id", F.lit("empty upload").alias("reject_reason"))
+    )
     return lines.filter((F.col("line") != "") | (F.col("line_no") == 0)), empty
 
 

@@ -12,7 +12,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str = "events*.parquet") -> DataFrame:
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).parquet(folder)
+    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 8).parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
