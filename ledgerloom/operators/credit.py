@@ -125,8 +125,14 @@ def roc_auc(scored: DataFrame, keys: Sequence[str] = (), score: str = "score", l
     )
     grid = [i / buckets for i in range(1, buckets)]
     cuts = by_score.groupBy(*keys).agg(F.percentile_approx("_s", grid, 4 * buckets).alias("_cuts"))
-    joined = by_score.join(cuts, keys) if keys else by_score.crossJoin(F.broadcast(cuts))
-    placed = joined.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
+    # coarse step over every 32nd cut, then inside the 32 cuts that follow it
+    step = 32
+    below = lambda arr: F.size(F.filter(arr, lambda c: c < F.col("_s")))
+    coarse = F.transform(F.sequence(F.lit(step), F.lit(max(step, buckets - 1)), F.lit(step)), lambda i: F.get("_cuts", i.cast("int") - 1))
+    cut_rows = cuts.withColumn("_coarse", F.array_compact(coarse))
+    joined = by_score.join(cut_rows, keys) if keys else by_score.crossJoin(F.broadcast(cut_rows))
+    near = joined.withColumn("_g", below("_coarse"))
+    placed = near.withColumn("_b", F.col("_g") * step + below(F.slice("_cuts", F.col("_g") * step + 1, F.lit(step)))).drop("_cuts", "_coarse", "_g")
     per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("q").alias("_bq"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = per_bucket.select(*keys, "_b", F.coalesce(F.sum("_bq").over(earlier), F.lit(0)).alias("_below"))
