@@ -19,6 +19,15 @@ BLOCK_ROWS = 65_536
 HOT_SHARE = 1_000
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer partitions than cores before expensive per-row work.
+
+    A large input already has more splits than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def previous_rows(
     df: DataFrame,
     keys: Sequence[str],

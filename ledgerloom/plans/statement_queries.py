@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.functions.spread import widen
 from ledgerloom.operators import statements
 from ledgerloom.plans.base_sql import cte, twin
 from ledgerloom.plans.registry import query, shown
@@ -77,7 +78,7 @@ def amount_texts(spark, sf):
 
 @query("amount_cells", twin(f"SELECT o_orderkey, cell, CAST({amount_sql('cell')} AS DOUBLE) AS amount FROM amount_texts", "amount_texts"))
 def amount_cells(spark, sf):
-    return shown(amount_texts(spark, sf).withColumn("amount", text.parse_amount(F.col("cell"))), digits=2)
+    return shown(widen(amount_texts(spark, sf)).withColumn("amount", text.parse_amount(F.col("cell"))), digits=2)
 
 
 def lines(spark, sf):
