@@ -24,7 +24,6 @@ def build_ledger(flows: DataFrame, opening_days: int = 30) -> DataFrame:
     span = flows.groupBy("business_id").agg(
         F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.sum("outflow_u").alias("all_out")
     )
-    days = F.datediff("last_day", "first_day") + 1
     spine = span.select(
         "business_id",
         F.expr(f"(all_out * {opening_days}) div (datediff(last_day, first_day) + 1)").alias("opening_u"),

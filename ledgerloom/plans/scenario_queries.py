@@ -28,7 +28,6 @@ _SPLIT = "(s.scenario_id * 31 + n.business_id{extra}) % n.n_periods"
 
 
 def _paths(extra: str, name: str) -> None:
-    per_payer = "o.counterparty_id" if extra else None
     sample = (
         f"""SELECT o.business_id, s.scenario_id, CAST(floor(o.days_until_due + c.delay_days) AS BIGINT) + 1 AS h, sum(o.cents * 100) AS arrival_u
 FROM open_items o JOIN (SELECT DISTINCT business_id, n_periods FROM periods) n ON n.business_id = o.business_id
@@ -37,7 +36,6 @@ JOIN periods p ON p.business_id = o.business_id AND p.period_no = {_SPLIT.format
 JOIN cells_by_month c ON c.business_id = o.business_id AND c.counterparty_id = o.counterparty_id AND c.issue_month = p.issue_month
 WHERE floor(o.days_until_due + c.delay_days) BETWEEN 0 AND {HORIZON - 1} GROUP BY 1, 2, 3"""
     )
-    del per_payer
     cte(
         name,
         f"""

@@ -9,7 +9,7 @@ from ledgerloom.functions.spread import running_totals
 from ledgerloom.sources.tables import table
 
 OPENING_CENTS = 1_000_000
-BOM = "﻿"
+BOM = "\ufeff"
 
 # Header line and cell separator of each layout (fixed values).
 LAYOUTS = (
