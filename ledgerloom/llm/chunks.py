@@ -10,6 +10,7 @@ answers are written tables: a lost executor repeats single tasks.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,11 +18,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.textbytes import buffer_of, id_array, ids_of
+from ledgerloom.llm.textbytes import buffer_of, ids_of
 from ledgerloom.session import cut_lineage, ensure_checkpoint_dir
 
 CHUNK_BYTES = 8 << 20
@@ -158,6 +159,18 @@ class ChunkTable:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a value of bounded size; the function gets it inside a task."""
+    held, cache = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> object:
+        if not cache:
+            cache.append(pickle.loads(held.value))
+        return cache[0]
+
+    return get
+
+
 def ranges(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of ascending 64-bit keys, by their leading bits."""
     bits = n_buckets.bit_length() - 1

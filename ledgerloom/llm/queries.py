@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import dedup_passages
+from ledgerloom.llm import dedup_passages, lm_matching, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,18 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages.repeated_passages(_table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_lm_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_matching.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op8_lm_partial_matching": op8_lm_partial_matching,
 }
 
 SQL: dict[str, str] = {}

@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> np.ndarray:
     if len(_POWERS[0]) < n:
         size = 1 << int(n - 1).bit_length()
-        _POWERS[0] = np.cumprod(np.concatenate(([1], np.full(size - 1, _STEP))).astype(np.uint64), dtype=np.uint64)
+        _POWERS[0] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, _STEP))), dtype=np.uint64)
     return _POWERS[0]
 
 
