@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import chunks
 from ledgerloom.llm.chunks import Chunk, ranges, share, tidy
-from ledgerloom.llm.textbytes import LOWER, NO_ID, cuts, id_array, mix, pack, span_hash, unpack, words
+from ledgerloom.llm.textbytes import LOWER, NO_ID, Lookup, cuts, id_array, mix, pack, span_hash, unpack, words
 from ledgerloom.session import cut_lineage
 
 ORDER = 5
@@ -75,44 +75,6 @@ def _tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
-class Lookup:
-    """Where keys stand in an array, by open addressing."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        bits = max(4, int(4 * len(keys)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.slots = np.full(1 << bits, -1, np.int32)
-        self.keys = keys
-        self.reach = 0
-        left, step = np.arange(len(keys)), 0
-        at = self._home(keys)
-        while len(left):
-            spot = (at[left] + step) & (len(self.slots) - 1)
-            free = self.slots[spot] < 0
-            self.slots[spot[free]] = left[free]
-            left = left[self.slots[spot] != left]
-            step += 1
-        self.reach = step
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int32)
-        home = self._home(keys)
-        found = self.slots[home]
-        miss = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
-        for step in range(1, self.reach):
-            if not len(miss):
-                break
-            got = self.slots[(home[miss] + step) & (len(self.slots) - 1)]
-            found[miss] = got
-            miss = miss[(got >= 0) & (self.keys[got] != keys[miss])]
-        found[miss] = -1
-        return found
-
-
 @dataclass
 class Level:
     """One order of the trie. grams: context and symbol; contexts: those with symbols in the trie."""
