@@ -242,11 +242,19 @@ def first_passage_udf(horizon: float):
     return probability
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return pd.Series(norm_cdf(x.to_numpy(float)))
+# Each call makes its own UDF: a module-level one holds a JVM object after its first use and stops the
+# module from being pickled for the fitting functions.
+def normal_cdf(x):
+    @F.pandas_udf(DoubleType())
+    def cdf(x: pd.Series) -> pd.Series:
+        return pd.Series(norm_cdf(x.to_numpy(float)))
+
+    return cdf(x)
 
 
-@F.pandas_udf(DoubleType())
-def welch_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided_p(a, b) if np.isfinite(a) and np.isfinite(b) else None for a, b in zip(t, dof)])
+def welch_p_value(t, dof):
+    @F.pandas_udf(DoubleType())
+    def p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([t_two_sided_p(a, b) if np.isfinite(a) and np.isfinite(b) else None for a, b in zip(t, dof)])
+
+    return p_value(t, dof)

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 # Cells that mean "no amount", which is not the same as an amount of zero (fixed values).
 BLANK_CELLS = ("", "-", "--", "NIL", "nil", "N/A")
+# Marks around an amount (fixed values).
 CURRENCY_PREFIX = r"(?i)^(inr|rs\.?|usd|eur|₹|\$|€)\s*"
 TRAILING_MARK = r"(?i)\b(cr|dr)\.?$"
 
 # Rail and document words that are never part of a counterparty name (fixed values).
 RAIL_WORDS = (
-    "NEFT IMPS RTGS UPI ACH CHQ DEP CR DR REF TXN BATCH PAYMENT BILL CHALLAN DEBIT CREDIT AC LOAN EMI SALARY GST "
-    "RENT ELECTRICITY UTILITIES"
-).split()
+    "NEFT", "IMPS", "RTGS", "UPI", "ACH", "CHQ", "DEP", "CR", "DR", "REF", "TXN", "BATCH", "PAYMENT", "BILL", "CHALLAN", "DEBIT", "CREDIT",
+    "AC", "LOAN", "EMI", "SALARY", "GST", "RENT", "ELECTRICITY", "UTILITIES",
+)
 
 # Date layouts in order of preference: name, Spark pattern, shape of the cell (fixed values).
 DATE_FORMATS = (
@@ -34,7 +35,7 @@ AMBIGUOUS = {"d/m/Y": "m/d/Y", "d-m-Y": "m-d-Y", "d/m/y": "m/d/y"}
 
 
 def parse_amount(cell: Column) -> Column:
-    """Currency cell -> decimal(14,2); NULL for blank or not a number.
+    """Currency cell -> decimal(28,2); NULL for blank or not a number.
 
     Parentheses and a trailing Dr negate; a currency prefix, a trailing Cr and any
     grouping commas are dropped.
@@ -47,10 +48,10 @@ def parse_amount(cell: Column) -> Column:
     bare = F.translate(F.trim(F.regexp_replace(inner, TRAILING_MARK, "")), ", ", "")
     minus = bare.startswith("-")
     digits = F.regexp_replace(F.regexp_replace(bare, "^-", ""), r"^\+", "")
-    value = F.when(digits.rlike(r"^-?\d+(\.\d+)?$"), digits.try_cast("decimal(14,2)"))
+    value = F.when(digits.rlike(r"^-?\d+(\.\d+)?$"), digits.try_cast("decimal(28,2)"))
     flips = bracketed.cast("int") + debit_mark.cast("int") + minus.cast("int")
     signed = F.when(flips % 2 == 1, -value).otherwise(value)
-    return F.when(s.isin(*BLANK_CELLS), F.lit(None)).otherwise(signed).cast("decimal(14,2)")
+    return F.when(s.isin(*BLANK_CELLS), F.lit(None)).otherwise(signed).cast("decimal(28,2)")
 
 
 def parse_date(cell: Column, pattern: str, shape: str) -> Column:
@@ -76,7 +77,9 @@ def counterparty_name(narrative: Column) -> Column:
     s = F.regexp_replace(s, r"\S*\d\S*", " ")
     s = F.regexp_replace(s, r"(?i)\b(" + "|".join(RAIL_WORDS) + r")\b", " ")
     s = F.btrim(F.regexp_replace(s, r"\s+", " "), F.lit(" -_."))
-    return F.when(F.length(s) >= 3, F.initcap(F.lower(s))).otherwise("UNKNOWN")
+    # A capital after anything that is not a letter, so after hyphens and apostrophes as well.
+    runs = F.regexp_extract_all(F.lower(s), F.lit(r"(\p{L}+|\P{L}+)"), 1)
+    return F.when(F.length(s) >= 3, F.array_join(F.transform(runs, F.initcap), "")).otherwise("UNKNOWN")
 
 
 def name_uuid(namespace_hex: str, name: Column) -> Column:

@@ -75,7 +75,7 @@ def first_duplicates(rows: DataFrame, vendor: str, amount_cents: str, day_no: st
 # --- density clusters ------------------------------------------------------------------------
 
 
-def dbscan(points: DataFrame, id_col: str, dims: Sequence[str], eps: float = 0.5, min_samples: int = 3, max_rounds: int = 50) -> DataFrame:
+def dbscan(points: DataFrame, id_col: str, dims: Sequence[str], eps: float = 0.5, min_samples: int = 3) -> DataFrame:
     """Core and noise flags and cluster labels (label = smallest id of the cluster, -1 noise).
 
     Grid cells have a diagonal of eps, so all points of a cell are neighbours: a cell with
@@ -136,14 +136,15 @@ def dbscan(points: DataFrame, id_col: str, dims: Sequence[str], eps: float = 0.5
     one_way = links.join(a, [f"a_{c}" for c in g]).join(b, g).select("u", "v")
     edges = cut_lineage(one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = cell_no.select(F.col("label").alias("node"), "label")
-    for _ in range(max_rounds):
+    while True:
         offers = edges.join(labels.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("offer"))
-        new = cut_lineage(labels.join(offers, "node", "left").select("node", F.least("label", F.coalesce("offer", "label")).alias("label"), (F.coalesce("offer", "label") < F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
-        if new.filter("moved").isEmpty():
+        offered = cut_lineage(labels.join(offers, "node", "left").select("node", "label", F.least("label", F.coalesce("offer", "label")).alias("next")))
+        # The label of the label: chains of cells shrink by halves.
+        beyond = offered.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        new = cut_lineage(offered.join(beyond, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
+        labels = new.select("node", F.col("next").alias("label"))
+        if new.filter("next < label").isEmpty():
             break
-    else:
-        raise RuntimeError("clusters did not settle; raise max_rounds")
     by_cell = cell_no.withColumnRenamed("label", "node").join(labels, "node").drop("node")
     core_labels = core_pts.join(by_cell, g).select("id", "label")
     border_q = cores.filter("NOT core").select(F.col("id").alias("q_id"), *[F.col(f"x{i}").alias(f"q_x{i}") for i in range(d)], *g, F.explode(around).alias("s")).select(

@@ -14,7 +14,9 @@ FIELDS = ["sequence", "timestamp", "actor_id", "action", "entity_type", "entity_
 
 
 def _quoted(col: str) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.col(col), r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    """JSON string with its control characters, quotes and backslashes escaped."""
+    text = F.regexp_extract(F.to_json(F.struct(F.col(col).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    return F.when(F.col(col).isNotNull(), text)
 
 
 def canonical_json(previous: str = "previous_hash") -> Column:
@@ -65,7 +67,7 @@ def append(entries: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     the entry is prepared in the JVM; the Python step streams over a sorted partition and
     keeps one hash per chain.
     """
-    marker = "\u0001"
+    marker = "\ue000previous\ue000"  # nothing in it is escaped
     text = F.split(canonical_json("_mark"), marker)
     base = entries.withColumn("_mark", F.lit(marker))
     ready = base.select(*entries.columns, text[0].alias("_before"), text[1].alias("_after"))

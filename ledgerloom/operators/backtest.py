@@ -83,8 +83,13 @@ def safe_spend_limits(points: DataFrame, decisions: DataFrame, cells: DataFrame,
     w = Window.partitionBy(*VIEW).orderBy("issue_month")
     n = F.count(F.lit(1)).over(Window.partitionBy(*VIEW))
     numbered = months.withColumn("period_no", F.row_number().over(w) - 1).withColumn("n_periods", n)
-    ids = F.sequence(F.lit(0), F.lit(n_scenarios - 1))
-    picks = F.size(F.filter(ids, lambda s: F.pmod(s * 31 + F.col("business_id"), F.col("n_periods")) == F.col("period_no")))
+    # Scenario s takes month (31 s + business) mod n: whole rounds of n scenarios, and the rest of one.
+    def taken(count):
+        chosen = F.filter(F.sequence(F.lit(0).cast("long"), count - 1), lambda s: F.pmod(s * 31 + F.col("business_id"), F.col("n_periods")) == F.col("period_no"))
+        return F.when(count > 0, F.size(chosen)).otherwise(0)
+
+    total = F.lit(n_scenarios).cast("long")
+    picks = F.floor(total / F.col("n_periods")) * taken(F.col("n_periods")) + taken(total % F.col("n_periods"))
     periods = numbered.withColumn("weight", picks.cast("long")).filter(F.col("weight") > 0)
     day = F.floor(F.col("days_until_due") + F.col("delay_days"))
     arrivals = (

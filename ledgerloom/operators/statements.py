@@ -14,16 +14,20 @@ from ledgerloom.functions.spread import lookup_join, previous_rows, running_tota
 from ledgerloom.session import cut_lineage
 
 DELIMITERS = (",", ";", "\t", "|")
-HEAD_LINES = 40
+HEAD_CHARS = 4_096
 SCAN_ROWS = 25
 TOLERANCE_CENTS = 1.1
 INDICATORS = ("dr", "cr", "d", "c", "debit", "credit", "db")
 DEBIT_FLAGS = ("dr", "d", "debit", "db")
 
 
-def sniff_delimiters(lines: DataFrame) -> DataFrame:
-    """Delimiter per file from its first lines: the one splitting most lines alike; comma otherwise."""
-    head = lines.filter(F.col("line_no") < HEAD_LINES).groupBy("file_id").agg(F.collect_list("line").alias("_lines"))
+def sniff_delimiters(lines: DataFrame, head_chars: int = HEAD_CHARS) -> DataFrame:
+    """Delimiter per file from the lines that start in its first ``head_chars`` characters: the one splitting
+    most lines alike; comma otherwise."""
+    near = lines.filter(F.col("line_no") < head_chars)  # a line has at least its line end
+    before = F.sum(F.length("line") + 1).over(Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < head_chars)
+    head = near.groupBy("file_id").agg(F.collect_list("line").alias("_lines"))
 
     def vote(i: int, d: str) -> Column:
         counts = F.filter(F.transform("_lines", lambda s: F.length(s) - F.length(F.replace(s, F.lit(d), F.lit("")))), lambda c: c > 0)
@@ -46,14 +50,14 @@ def split_cells(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
     return j.select("file_id", "line_no", F.transform(cells, unquote).alias("cells"))
 
 
-def locate_header(rows: DataFrame) -> DataFrame:
-    """Best of the first rows by header vocabulary, numeric cells and modal width."""
+def locate_header(rows: DataFrame, scan_rows: int = SCAN_ROWS) -> DataFrame:
+    """Best of the first ``scan_rows`` rows by header vocabulary, numeric cells and modal width."""
     from ledgerloom.functions.similarity import header_scores
 
     width = F.size("cells")
     modal = rows.filter(width > 1).groupBy("file_id", width.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"))
     modal = modal.groupBy("file_id").agg(F.max_by("w", F.struct("n", -F.col("first"))).alias("modal_width"))
-    head = rows.filter((F.col("line_no") < SCAN_ROWS) & (width >= 2))
+    head = rows.filter((F.col("line_no") < scan_rows) & (width >= 2))
     cells = head.select("file_id", "line_no", width.alias("w"), F.explode("cells").alias("cell"))
     words = cells.select("cell").filter(F.trim("cell") != "").distinct().withColumn("vocab", F.array_max(F.map_values(header_scores("cell"))))
     scored = cells.join(words, "cell", "left").groupBy("file_id", "line_no", "w").agg(
@@ -305,15 +309,9 @@ def choose_mapping(reports: DataFrame, support: DataFrame | None = None) -> Data
     )
 
 
-def first_failing(resid: DataFrame, keys: list[str], limit: int = 20, block_rows: int = 65_536) -> DataFrame:
-    """First failing row numbers per key; each block offers its own first ones."""
-    bad = resid.filter(F.col("residual") > TOLERANCE_CENTS).withColumn("_b", F.floor(F.col("row_idx") / block_rows))
-    w = Window.partitionBy(*keys, "_b").orderBy("row_idx")
-    few = bad.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
-    w2 = Window.partitionBy(*keys).orderBy("row_idx")
-    return few.withColumn("_n", F.row_number().over(w2)).filter(F.col("_n") <= limit).groupBy(*keys).agg(
-        F.array_sort(F.collect_list("row_idx")).alias("failing_rows")
-    )
+def failing_rows(resid: DataFrame) -> DataFrame:
+    """The rows that break the running balance, one each; a caller that shows a few of them cuts its own list."""
+    return resid.filter(F.col("residual") > TOLERANCE_CENTS)
 
 
 def descriptive_columns(types: DataFrame, header_cells: DataFrame, date_columns: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -367,7 +365,7 @@ def statement_rows(body: DataFrame, resid: DataFrame, date_columns: DataFrame, d
     j = lookup_join(resid, sized, ["file_id"], "n_rows", how="inner")
     at = lambda i: F.trim(F.get("cells", F.col(i).cast("int")))
     posted = text.parse_date_named(at("date_idx"), F.col("date_format"))
-    money = lambda c: (F.col(c) / F.lit(100)).cast("decimal(14,2)")
+    money = lambda c: (F.col(c) / F.lit(100)).try_cast("decimal(28,2)")
     return j.select(
         "file_id", "row_idx", posted.alias("posted_date"), F.coalesce(at("desc_idx"), F.lit("")).alias("description"),
         F.when(at("ref_idx") != "", at("ref_idx")).alias("reference"), money("debit").alias("debit"), money("credit").alias("credit"),

@@ -14,7 +14,7 @@ from ledgerloom.plans.views import ledger_table
 from ledgerloom.session import cut_lineage, ensure_checkpoint_dir
 from ledgerloom.sources import summaries, tables
 
-REPLAY_SCENARIOS = 40
+REPLAY_SCENARIOS = 3_000
 
 _CATS = " UNION ALL ".join(
     f"SELECT {i}::BIGINT AS no, '{n}' AS name, {s} AS share, {f}::DOUBLE AS fee, '{x}' AS flexibility" for i, (n, s, f, x) in enumerate(allocation.CATEGORIES)
@@ -85,14 +85,17 @@ cte(
     "limits",
     f"""
 SELECT business_id, as_of, greatest(0.0, floor(quantile_cont(mc, 0.05) * 10000 + 0.001) / 10000) AS safe_spend, avg(CASE WHEN mc < 0 THEN 1.0::DOUBLE ELSE 0 END) AS base FROM (
- SELECT s.business_id, s.as_of, s.scenario_id, min(balance) AS mc FROM (
-  SELECT p.business_id, p.as_of, sc.scenario_id, (CAST(round(d.opening_balance * 10000) AS BIGINT) + CAST(sum(p.point_u + coalesce(a.arrival_u, 0)) OVER (
-     PARTITION BY p.business_id, p.as_of, sc.scenario_id ORDER BY p.h ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 10000.0::DOUBLE AS balance
-  FROM as_of_points p JOIN decisions d ON d.business_id = p.business_id AND d.as_of = p.as_of
-  JOIN (SELECT DISTINCT business_id, as_of, n_periods FROM as_of_periods) n ON n.business_id = p.business_id AND n.as_of = p.as_of
-  CROSS JOIN (SELECT unnest(generate_series(0, {REPLAY_SCENARIOS - 1})) AS scenario_id) sc
-  LEFT JOIN as_of_arrivals a ON a.business_id = p.business_id AND a.as_of = p.as_of AND a.period_no = (sc.scenario_id * 31 + p.business_id) % n.n_periods AND a.h = p.h) s
- GROUP BY 1, 2, 3) GROUP BY 1, 2
+ SELECT m.business_id, m.as_of, m.mc FROM (
+  SELECT s.business_id, s.as_of, s.period_no, min(balance) AS mc FROM (
+   SELECT p.business_id, p.as_of, n.period_no, (CAST(round(d.opening_balance * 10000) AS BIGINT) + CAST(sum(p.point_u + coalesce(a.arrival_u, 0)) OVER (
+     PARTITION BY p.business_id, p.as_of, n.period_no ORDER BY p.h ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 10000.0::DOUBLE AS balance
+   FROM as_of_points p JOIN decisions d ON d.business_id = p.business_id AND d.as_of = p.as_of
+   JOIN (SELECT DISTINCT business_id, as_of, period_no FROM as_of_periods) n ON n.business_id = p.business_id AND n.as_of = p.as_of
+   LEFT JOIN as_of_arrivals a ON a.business_id = p.business_id AND a.as_of = p.as_of AND a.period_no = n.period_no AND a.h = p.h) s GROUP BY 1, 2, 3) m
+ JOIN (SELECT n.business_id, n.as_of, (sc.scenario_id * 31 + n.business_id) % n.n_periods AS period_no
+  FROM (SELECT DISTINCT business_id, as_of, n_periods FROM as_of_periods) n
+  CROSS JOIN (SELECT unnest(generate_series(0, {REPLAY_SCENARIOS - 1})) AS scenario_id) sc) c
+ ON c.business_id = m.business_id AND c.as_of = m.as_of AND c.period_no = m.period_no) GROUP BY 1, 2
 """,
     "as_of_points",
     "as_of_arrivals",

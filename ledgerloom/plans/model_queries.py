@@ -14,7 +14,7 @@ from ledgerloom.plans.views import history_table
 from ledgerloom.session import cut_lineage, ensure_checkpoint_dir
 from ledgerloom.streaming import jobs
 
-ROUNDS = 20
+ROUNDS = 200
 
 
 def split(spark, sf):

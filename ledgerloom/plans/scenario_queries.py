@@ -61,7 +61,7 @@ FROM {t} GROUP BY 1, 2"""
 cte("outcomes", OUT.format(h=HORIZON, t="paths"), "paths")
 cte("outcomes_indep", OUT.format(h=HORIZON, t="paths_indep"), "paths_indep")
 RAR = """SELECT business_id, CAST(floor(any_value(q)) AS BIGINT) AS rar, avg(CASE WHEN d <= q THEN d END) AS crar, avg(CASE WHEN fp IS NULL THEN 0.0::DOUBLE ELSE 1 END) AS ps, count(*) AS n
-FROM (SELECT *, quantile_cont(d, 0.05) OVER (PARTITION BY business_id) AS q FROM {t}) GROUP BY 1"""
+FROM {t} JOIN (SELECT business_id, quantile_cont(d, 0.05) AS q FROM {t} GROUP BY 1) USING (business_id) GROUP BY 1"""
 cte("rar", RAR.format(t="outcomes"), "outcomes")
 cte("rar_indep", RAR.format(t="outcomes_indep"), "outcomes_indep")
 cte("curve", f"""SELECT business_id, h AS horizon_days, avg(CASE WHEN fp <= h THEN 1.0::DOUBLE ELSE 0 END) AS p, count(*) AS n

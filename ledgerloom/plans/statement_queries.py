@@ -286,14 +286,12 @@ def statement_diagnosis(spark, sf):
 @query(
     "statement_failing_rows",
     twin(
-        """SELECT file_id, string_agg(CAST(row_idx AS VARCHAR), ',' ORDER BY row_idx) AS failing_rows FROM (
-  SELECT file_id, row_idx, row_number() OVER (PARTITION BY file_id ORDER BY row_idx) AS n FROM resid_rows WHERE r > 1.1) WHERE n <= 20 GROUP BY 1""",
+        "SELECT file_id, CAST(row_idx AS BIGINT) AS row_idx FROM resid_rows WHERE r > 1.1",
         "resid_rows",
     ),
 )
 def statement_failing_rows(spark, sf):
-    f = statements.first_failing(typed_residuals(spark, sf), ["file_id"])
-    return f.select("file_id", F.array_join(F.transform("failing_rows", lambda x: x.cast("string")), ",").alias("failing_rows"))
+    return statements.failing_rows(typed_residuals(spark, sf)).select("file_id", F.col("row_idx").cast("long").alias("row_idx"))
 
 
 def chosen_rows(spark, sf):

@@ -11,7 +11,7 @@ PAYMENTS = (
 )
 LEDGER = "business_id long, date date, inflow double, receipts double, cash_sales double, outflow double, net double, net_ex_receipts double, balance double"
 RECORDS = (
-    "record_id string, kind string, business_id long, amount decimal(14,2), due_date date, settled_date date, counterparty_name string, "
+    "record_id string, kind string, business_id long, amount decimal(28,2), due_date date, settled_date date, counterparty_name string, "
     "category string, is_receivable boolean, certainty double, source_type string, source_reference string"
 )
 OCR_LINES = "doc_id long, line_no long, text string, confidence double, x0 double, y0 double, x1 double, y1 double, angle double"
