@@ -321,24 +321,31 @@ WHERE NOT (s.file_id % 5 <> 3 AND m.last >= 40 AND s.file_id % 3 = 0)""",
 )
 
 
-@query(
-    "statement_records",
-    twin(
-        r"""SELECT lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS record_id,
+STATEMENT_RECORDS = r"""SELECT lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS record_id,
   kind, file_id % 25 AS business_id, file_id, row_idx, (debit + credit) / 100.0::DOUBLE AS amount, CAST(posted_date AS VARCHAR) AS settled_date, name AS counterparty_name,
   CASE WHEN kind = 'out' THEN 'uncategorized' END AS category, 'bank_statement' AS source_type
 FROM (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('ledgerloom/statement/' || (file_id % 25) || '/ACC-' || file_id || '/' || kind || '/' || posted_date || '/' ||
     printf('%.2f', debit / 100.0::DOUBLE) || '/' || printf('%.2f', credit / 100.0::DOUBLE) || '/' || description)) AS h FROM (
-  SELECT *, CASE WHEN credit > 0 THEN 'in' ELSE 'out' END AS kind, CASE event_id % 4 WHEN 0 THEN 'Acme Supplies' WHEN 1 THEN 'Orion Textiles' WHEN 2 THEN 'UNKNOWN' ELSE 'Blue Lake Traders' END AS name FROM good_rows))""",
-        "good_rows",
-    ),
-)
-def statement_records(spark, sf):
+  SELECT *, CASE WHEN credit > 0 THEN 'in' ELSE 'out' END AS kind, CASE event_id % 4 WHEN 0 THEN 'Acme Supplies' WHEN 1 THEN 'Orion Textiles' WHEN 2 THEN 'UNKNOWN' ELSE 'Blue Lake Traders' END AS name FROM good_rows))"""
+
+
+def statement_record_rows(spark, sf):
     rows, mapping, *_ = chosen_rows(spark, sf)
     accounts = mapping.filter(~F.col("rejected")).select(
         "file_id", "n_rows", (F.col("file_id") % 25).alias("business_id"), F.concat(F.lit("ACC-"), F.col("file_id").cast("string")).alias("account_reference")
     )
-    r = statements.records(rows, accounts)
+    return statements.records(rows, accounts)
+
+
+@query(
+    "statement_records",
+    twin(
+        STATEMENT_RECORDS,
+        "good_rows",
+    ),
+)
+def statement_records(spark, sf):
+    r = statement_record_rows(spark, sf)
     return shown(r.select("record_id", "kind", "business_id", "file_id", "row_idx", "amount", "settled_date", "counterparty_name", "category", "source_type"), digits=2)
 
 
