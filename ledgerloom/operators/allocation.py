@@ -366,6 +366,16 @@ def objective(allocations: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def plan_status(objectives: DataFrame, limits: DataFrame, epsilon: float = 0.05, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Plans with their safe-spend limit and whether any plan can keep the shortfall below ``epsilon``.
+
+    Paying nothing is the safest plan; where even that falls short too often, the status is infeasible:
+    the way out is more cash or other terms, not another schedule.
+    """
+    status = F.when(F.col("baseline_shortfall") > epsilon, "infeasible").otherwise("feasible")
+    return objectives.join(limits.select(*keys, "safe_spend", "baseline_shortfall"), list(keys)).withColumn("status", status)
+
+
 def feasibility(allocations: DataFrame, instances: DataFrame, tol: float = 0.01, keys: Sequence[str] = KEYS) -> DataFrame:
     """Budget, box and all-or-nothing tests with a tolerance of one hundredth per item."""
     x, a = F.col("allocated_amount"), F.col("amount")

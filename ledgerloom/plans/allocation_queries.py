@@ -303,6 +303,24 @@ def solver_comparison(spark, sf):
     return shown(allocation.objective(replay(spark, sf, CHECKED)[2]), objective=8, planned_spend=2)
 
 
+@query(
+    "plan_status",
+    twin(
+        """SELECT p.*, round(l.safe_spend, 6) AS safe_spend, round(l.base, 6) AS baseline_shortfall, CASE WHEN l.base > 0.05 THEN 'infeasible' ELSE 'feasible' END AS status
+FROM (SELECT business_id, CAST(as_of AS VARCHAR) AS as_of, strategy, round(sum(penalty), 8) AS objective, round(sum(allocated), 2) AS planned_spend, count(*) FILTER (WHERE funded) AS n_funded
+  FROM plans WHERE strategy = 'chance_constrained' GROUP BY 1, 2, 3) p JOIN limits l ON l.business_id = p.business_id AND CAST(l.as_of AS VARCHAR) = p.as_of""",
+        "plans",
+        "limits",
+    ),
+)
+def plan_status(spark, sf):
+    led = cut_lineage(ledger_table(spark, sf))
+    d = cut_lineage(ledger.decision_points(led, STEP_DAYS, HORIZON, MIN_HISTORY, OBLIGATION_ROWS))
+    cap = cut_lineage(limits(spark, sf, led, d))
+    plans = backtest.run_strategies(["chance_constrained"], cut_lineage(allocation.template_obligations(d)), allocation.template_instances(d), cap)
+    return shown(allocation.plan_status(allocation.objective(plans), cap), objective=8, planned_spend=2)
+
+
 LABEL = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in allocation.LABELS.items()) + " END"
 cte(
     "plan_rows",
