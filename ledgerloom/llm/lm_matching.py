@@ -32,8 +32,8 @@ from ledgerloom.llm.chunks import Chunk, ranges, share, tidy
 from ledgerloom.llm.textbytes import LOWER, NO_ID, Lookup, cuts, id_array, mix, pack, span_hash, unpack, words
 from ledgerloom.session import cut_lineage
 
-ORDER = 5
-NODES = 1 << 18
+ORDER = 6
+NODES = 1 << 22
 #: Start and end of a text; this byte occurs in no UTF-8 text.
 EDGE = 0xFF
 SYMBOLS = 256
@@ -154,7 +154,7 @@ class Model:
 
 def train(table: chunks.ChunkTable, learns, nodes: int = NODES) -> Model:
     """Count the training texts of all chunks; ``learns(ids)`` says which texts those are."""
-    n_buckets = 64
+    n_buckets = table.buckets_for(table.n_bytes / 4)
 
     def counted(chunk: Chunk) -> Iterator[pa.RecordBatch]:
         use, keys, counts = learns(chunk.ids), [], []

@@ -65,7 +65,7 @@ def compare(got, want):
         assert g[5:] == pytest.approx(w[5:], abs=1e-6)
 
 
-@pytest.mark.parametrize(("nodes", "chunk_bytes"), [(1 << 18, 1 << 20), (200, 3000)])
+@pytest.mark.parametrize(("nodes", "chunk_bytes"), [(lm_matching.NODES, 1 << 20), (200, 3000)])
 def test_against_brute_force(spark, nodes, chunk_bytes):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40).collect()]
     rows = [(i, t[:700]) for i, t in rows] + [(900, None), (901, ""), (None, "Null id"), (902, "\x00 ü€ " * 3), (903, "The the THE"), (903, "The the THE")]
@@ -76,5 +76,5 @@ def test_against_brute_force(spark, nodes, chunk_bytes):
 def test_nothing_to_learn(spark):
     held = [i for i in range(100) if not train_side(i)][:2]
     rows = [(held[0], "abc"), (held[1], None)]
-    compare(lm_matching.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute(rows, 1 << 18))
+    compare(lm_matching.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute(rows, lm_matching.NODES))
     assert lm_matching.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
