@@ -9,6 +9,7 @@ more generally, k tokens among the first n - o + k.  Hence:
   the fewest tokens of its own) under each of its prefix tokens: groups of copies of any size join there;
 - a token that still spans several classes is indexed alone while its group is small; a frequent one
   is extended by the further tokens of the next longer prefix, to combinations of two, then three;
+- at the k-th common token of two partners, what both have left must still reach the overlap they need;
 - every candidate pair is verified on its whole token sets before it links.
 
 Only pairs that lie in one class already are left out; no link between classes can be lost.
@@ -242,7 +243,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of different classes, by single tokens and then combinations."""
+    """Distinct candidate pairs of different classes, by single tokens and then combinations."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,21 +254,29 @@ def _across(sets: DataFrame, classes: DataFrame) -> DataFrame:
                 at = np.arange(own, min(n, prefix(n, LONGEST)))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(np.full(len(at), node[i].as_py())), pa.array(np.full(len(at), n)), pa.array(at)], ["token", "node", "n", "at"])
 
+    # Of two partners the one with fewer tokens holds its k-th common one within `short`; what follows it must suffice.
+    need = lambda total: F.ceil(total * PERCENT / (100 + PERCENT))
+    stop = lambda k: F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + k
+    short = lambda k: F.col("at") < F.col("n") - need(2 * F.col("n")) + k
+
+    def spans(df: DataFrame, key: str, k: int) -> DataFrame:
+        """Keys of sets of several classes, with a set that may be the smaller of a pair."""
+        found = df.groupBy(key).agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high"), F.max(short(k)).alias("any"))
+        return found.filter("low < high and any").select(key, "size")
+
     indexed = sets.select("node", "body").mapInArrow(entries, "token long, node long, n long, at long")
     indexed = indexed.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-    spans = lambda df, keys: df.groupBy(*keys).agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select(*keys, "size")
     with tidy(sets.sparkSession):
         indexed = cut_lineage(indexed)
-        shared = cut_lineage(indexed.join(spans(indexed, ["token"]).select("token"), "token"))
-    stop = lambda k: F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + k
-    level = shared.filter(F.col("at") < stop(1)).select(F.col("token").alias("key"), "node", "n", "class", "at")
-    out = None
-    with tidy(sets.sparkSession):
+        shared = cut_lineage(indexed.join(spans(indexed, "token", LONGEST).select("token"), "token"))
+        level, out = shared.filter(F.col("at") < stop(1)).select(F.col("token").alias("key"), "node", "n", "class", "at"), None
         for k in range(1, LONGEST + 1):
-            level = cut_lineage(level.join(spans(level, ["key"]), "key"))
-            small = level.filter((F.col("size") <= GROUP) | F.lit(k == LONGEST)).drop("at")
-            a, b = small.alias("a"), small.alias("b")
-            fits = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.class") != F.col("b.class")) & (100 * F.col("a.n") >= PERCENT * F.col("b.n")) & (100 * F.col("b.n") >= PERCENT * F.col("a.n"))
+            level = cut_lineage(level.join(spans(level, "key", k), "key"))
+            small = level.filter((F.col("size") <= GROUP) | F.lit(k == LONGEST))
+            a, b = small.filter(short(k)).alias("a"), small.alias("b")
+            ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
+            left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
+            fits = (F.col("a.key") == F.col("b.key")) & ordered & (F.col("a.class") != F.col("b.class")) & (100 * F.col("a.n") >= PERCENT * F.col("b.n")) & (k + left >= need(F.col("a.n") + F.col("b.n")))
             found = cut_lineage(a.join(b, fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
             out = found if out is None else out.union(found)
             large = level.filter(F.col("size") > GROUP).drop("size")
