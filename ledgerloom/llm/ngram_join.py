@@ -34,10 +34,11 @@ from ledgerloom.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 75
-#: Larger groups of an index key are extended by one more token, up to LONGEST tokens.
+#: Where more sets than this may be the smaller partner under an index key, it is extended by one more token, up
+#: to LONGEST tokens; below it, each set meets this many at most.
 GROUP = 64
 LONGEST = 3
-PIECE = 2 << 20
+PIECE = 1 << 20
 _A = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -260,9 +261,9 @@ def _across(sets: DataFrame, classes: DataFrame) -> DataFrame:
     short = lambda k: F.col("at") < F.col("n") - need(2 * F.col("n")) + k
 
     def spans(df: DataFrame, key: str, k: int) -> DataFrame:
-        """Keys of sets of several classes, with a set that may be the smaller of a pair."""
-        found = df.groupBy(key).agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high"), F.max(short(k)).alias("any"))
-        return found.filter("low < high and any").select(key, "size")
+        """Keys of sets of several classes, with the number of sets that may be the smaller of a pair."""
+        found = df.groupBy(key).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.sum(short(k).cast("long")).alias("size"))
+        return found.filter("low < high and size > 0").select(key, "size")
 
     indexed = sets.select("node", "body").mapInArrow(entries, "token long, node long, n long, at long")
     indexed = indexed.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
