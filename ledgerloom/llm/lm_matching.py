@@ -37,7 +37,7 @@ NODES = 1 << 22
 #: Start and end of a text; this byte occurs in no UTF-8 text.
 EDGE = 0xFF
 SYMBOLS = 256
-PIECE = 2 << 20
+PIECE = 1 << 20
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: The end of a text among the hashed words.
 END = np.uint64(0x0123456789ABCDEF)
