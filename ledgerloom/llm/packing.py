@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,19 @@ CACHED_WORDS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def _core(word: bytes) -> tuple[bytes, bytes]:
+    """A word without one mark at its end, in small letters, and that mark.
+
+    The tokenizer ignores case and starts a new piece between a letter and a mark; words that may
+    hold a special token's string stay whole.
+    """
+    if b"<" in word:
+        return word, b""
+    if word[-1:] in b".,;:!?" and word[-2:-1].isalpha():
+        return word[:-1].lower(), word[-1:]
+    return word.lower(), b""
+
+
 def token_table(docs: DataFrame, tokenizer_path: str, doc_id: str, text: str, end_id: int, by_word: bool) -> DataFrame:
     """Written table of (part, place, doc_id, n, ids): ids as little-endian 32-bit integers, end id last.
 
@@ -44,6 +58,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, doc_id: str, text: str, en
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tail = np.array([end_id], "<u4").tobytes()
         known: dict[bytes, bytes] = {}
+        cores: dict[bytes, bytes] = {b"": b""}
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = ids_of(batch.column(0))
@@ -54,9 +69,12 @@ def token_table(docs: DataFrame, tokenizer_path: str, doc_id: str, text: str, en
                     split = [t.split() for t in raw]
                     if len(known) > CACHED_WORDS:
                         known.clear()
-                    new = list({w for t in split for w in t}.difference(known))
-                    found = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-                    known.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in found)))
+                        cores = {b"": b""}
+                    new = {w: _core(w) for w in set().union(*split).difference(known)}
+                    fresh = list({x for pair in new.values() for x in pair}.difference(cores))
+                    found = tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
+                    cores.update(zip(fresh, (array("I", x.ids).tobytes() for x in found)))
+                    known.update((w, cores[a] + cores[b]) for w, (a, b) in new.items())
                     bodies = [b"".join(map(known.__getitem__, t)) + tail for t in split]
                 else:
                     bodies = [np.array(x.ids, "<u4").tobytes() + tail for x in tokenizer.encode_batch([t.decode() for t in raw], add_special_tokens=False)]

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from ledgerloom.llm import packing
 from ledgerloom.llm.queries import tokenizer_path
 
-TEXTS = [None, "", "A b", "Don't STOP  now\u00a0ok\u2003x", "caf\u00e9 \u4e2d\u6587 \U0001f600 123 $$$ \u0130 \u03a3\u03a3", "e\u0301 \u0301x \x1c\x1d y\x85z", "a|b <|endoftext|>c d<|startoftext|> </w>", "w " * 3000]
+TEXTS = ["Word, WORD. it's, caf\u00e9. a,. 1, x?! <|ENDOFTEXT|>, <|endoftext|>. \u00c9A\u0301,", None, "", "A b", "Don't STOP  now\u00a0ok\u2003x", "caf\u00e9 \u4e2d\u6587 \U0001f600 123 $$$ \u0130 \u03a3\u03a3", "e\u0301 \u0301x \x1c\x1d y\x85z", "a|b <|endoftext|>c d<|startoftext|> </w>", "w " * 3000]
 
 
 def expected(rows):
