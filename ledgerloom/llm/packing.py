@@ -34,9 +34,10 @@ def _core(word: bytes) -> tuple[bytes, bytes]:
     """A word without one mark at its end, in small letters, and that mark.
 
     The tokenizer ignores case and starts a new piece between a letter and a mark; words that may
-    hold a special token's string stay whole.
+    hold a special token's string stay whole.  So do words beyond ASCII: the tokenizer composes letters
+    and combining marks before it makes letters small, and some pairs compose in one case alone.
     """
-    if b"<" in word:
+    if b"<" in word or not word.isascii():
         return word, b""
     if word[-1:] in b".,;:!?" and word[-2:-1].isalpha():
         return word[:-1].lower(), word[-1:]

@@ -43,3 +43,13 @@ def test_round_trip(spark, sequence, by_word):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_letters_that_compose_in_one_case_alone(spark):
+    words = ["J\u030cx", "H\u0331,", "aT\u0308", "W\u030a.", "Y\u030a", "j\u030c", "h\u0331", "\u00c9A,"]
+    rows = [(i, w) for i, w in enumerate(words)] + [(len(words), " ".join(words))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path()).collect()
+    whole = {}
+    for p in sorted(got, key=lambda p: (p.doc_id, p.start)):
+        whole[p.doc_id] = whole.get(p.doc_id, b"") + bytes(p.ids)
+    assert whole == {i: x.tobytes() for i, x in expected(rows)}
