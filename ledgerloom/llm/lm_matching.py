@@ -1,9 +1,11 @@
 """LM scoring by partial matching: code lengths of whole documents under a byte-context trie.
 
 Training counts every byte and end of text after its last ``ORDER`` bytes, over all training
-documents; shorter contexts are sums of longer ones.  A trie node stays when it holds at least
-one in ``NODES`` of all training symbols, so each order has at most NODES nodes at any corpus
-size: that bounds what is broadcast.  Scoring walks from the longest context in the trie:
+documents; shorter contexts are sums of longer ones.  The trie keeps every node unless a caller
+bounds it, and grows with the corpus: it is dealt out by the last two context bytes and never
+gathered.  Chunks send their distinct windows, with their training counts, to the range that has
+all contexts of these two bytes, and get a log probability for each.  Only pairs of bytes, 65,536 at most, are
+broadcast.  Scoring walks from the longest context in the trie:
 
 - a symbol seen there has probability n / (total + distinct), total counting dropped nodes too;
 - else the escape is paid and the next shorter context is tried, without the symbols of the
@@ -11,8 +13,8 @@ size: that bounds what is broadcast.  Scoring walks from the longest context in
   an exclusion leaves is one number for each context and is worked out once;
 - a symbol seen nowhere gets an equal share of the symbols not excluded.
 
-The model is pretrained, so each byte's probability is a lookup and texts of any length are
-scored in stretches.  The baseline is a word unigram model with one added to each count, whose
+The model is pretrained, so each byte's probability is worked out once for each distinct window
+and texts of any length are scored in stretches.  The baseline is a word unigram model with one added to each count, whose
 counts come from the chunks' exchange.
 """
 
@@ -33,6 +35,7 @@ from ledgerloom.llm.textbytes import LOWER, NO_ID, Lookup, cuts, id_array, mix,
 from ledgerloom.session import cut_lineage
 
 ORDER = 6
+#: For a model of bounded size, if asked for: nodes with less than one in NODES of all training symbols go.
 NODES = 1 << 22
 #: Start and end of a text; this byte occurs in no UTF-8 text.
 EDGE = 0xFF
@@ -90,24 +93,20 @@ class Level:
 
 
 class Model:
-    """Trie of kept nodes; counts[k] are those of k context bytes and a symbol, by ascending key."""
+    """Trie; counts[k] are all nodes of k context bytes and a symbol, by ascending key. Those below ``least`` go."""
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], n_texts: int, n_symbols: int) -> None:
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], least: int) -> None:
         self.levels: list[Level] = []
-        below = None
+        counts, below = list(counts), None
         for k, (keys, n) in enumerate(counts):
+            whole, head = np.unique(keys >> np.uint64(8), return_index=True)
+            totals = np.add.reduceat(n, head) if len(head) else np.zeros(0, np.int64)
+            keys, n = keys[n >= least], n[n >= least]
+            counts[k] = keys, n
             context, head = np.unique(keys >> np.uint64(8), return_index=True)
-            if not len(keys):
-                context, head = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             kept = np.add.reduceat(n, head) if len(head) else np.zeros(0, np.int64)
             distinct = np.diff(np.append(head, len(keys)))
-            if k == 0:
-                total = np.full(len(context), n_symbols)
-            else:
-                short, short_n = counts[k - 1]
-                start = np.uint64((1 << (8 * k)) - 1)
-                total = np.where(context == start, n_texts, short_n[np.minimum(np.searchsorted(short, context), max(0, len(short) - 1))] if len(short) else n_texts)
-            total = np.maximum(total, kept)
+            total = totals[np.searchsorted(whole, context)]
             rest = rest_escape = np.zeros(len(context))
             if k and len(context):
                 mask = np.uint64((1 << (8 * k)) - 1)
@@ -124,6 +123,7 @@ class Model:
         top = self.levels[-1]
         context = top.contexts(counts[-1][0] >> np.uint64(8))
         self.log_top = top.log_count - top.log_total[context]
+        self.top_count, self.top_total = counts[-1][1], (below[1] + below[3])[context]
 
     def log10(self, window: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each window after the others."""
@@ -152,72 +152,122 @@ class Model:
         return out
 
 
-def train(table: chunks.ChunkTable, learns, nodes: int = NODES) -> Model:
-    """Count the training texts of all chunks; ``learns(ids)`` says which texts those are."""
+def windows(chunk: Chunk, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of a chunk, ascending, and how often each is in the texts to use."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in cuts(chunk.offs, PIECE):
+        window, lens, _ = framed(chunk.buf[chunk.offs[i] : chunk.offs[j]], chunk.offs[i : j + 1] - chunk.offs[i])
+        taught = np.repeat(use[i:j], lens)
+        for part, weight in ((window[taught], 1), (window[~taught], 0)):
+            k, n = _tally(part)
+            keys.append(k)
+            counts.append(n * weight)
+    return _tally(np.concatenate(keys), np.concatenate(counts))
+
+
+def dealt(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions) of ascending windows, by their last two context bytes."""
+    bucket = (mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])):
+        if x < y:
+            yield b, order[x:y]
+
+
+def told(model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window its count and the denominator, or zeros and its log10 probability if it is not in the trie."""
+    found = model.levels[-1].grams(keys)
+    n, total, logs = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys))
+    hit = found >= 0
+    n[hit], total[hit] = model.top_count[found[hit]], model.top_total[found[hit]]
+    logs[~hit] = model.log10(keys[~hit])
+    return n, total, logs
+
+
+def message(*parts: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "big") + x for x in parts)
+
+
+def heard(body: bytes) -> np.ndarray:
+    parts, at = [], 0
+    while at < len(body):
+        end = at + 8 + int.from_bytes(body[at : at + 8], "big")
+        parts.append(body[at + 8 : end])
+        at = end
+    n, total = unpack(parts[0], np.int64), unpack(parts[1], np.int64)
+    logs = np.log10(np.maximum(n, 1)) - np.log10(np.maximum(total, 1))
+    logs[n == 0] = np.frombuffer(parts[2], np.float64)
+    return logs
+
+
+def trained(table: chunks.ChunkTable, learns, nodes: int | None = None) -> tuple[DataFrame, int]:
+    """(log10 probabilities of the windows that each chunk asked for, number of key ranges).
+
+    ``learns(ids)`` says which texts count; ``nodes`` bounds each order of the trie.
+    """
     n_buckets = table.buckets_for(table.n_bytes / 4)
 
-    def counted(chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        use, keys, counts = learns(chunk.ids), [], []
+    def paired(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+        use, seen = learns(chunk.ids), np.zeros(1 << 16, np.int64)
         for i, j in cuts(chunk.offs, PIECE):
             window, lens, _ = framed(chunk.buf[chunk.offs[i] : chunk.offs[j]], chunk.offs[i : j + 1] - chunk.offs[i])
-            k, n = _tally(window[np.repeat(use[i:j], lens)])
-            keys.append(k)
-            counts.append(n)
-        k, n = _tally(np.concatenate(keys), np.concatenate(counts))
-        bucket = (mix(k & np.uint64(0xFFFFFF)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        rows = [(b, order[x:y]) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:])) if x < y]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([int(n[o].sum()) for _, o in rows], pa.int64()), pa.array([int(use.sum()) * (m == 0) for m in range(len(rows))], pa.int64()), pa.array([pack(np.diff(k[o], prepend=np.uint64(0))) for _, o in rows], pa.binary()), pa.array([pack(n[o].astype(np.uint32)) for _, o in rows], pa.binary())], ["bucket", "n", "texts", "keys", "counts"])
+            seen += np.bincount((window[np.repeat(use[i:j], lens)] & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen[found])], ["gram", "n"])
 
     with tidy(table.spark):
-        parts = cut_lineage(table.each(counted, "bucket long, n long, texts long, keys binary, counts binary"))
-    n_symbols, n_texts = (int(x or 0) for x in parts.agg(F.sum("n"), F.sum("texts")).first())
-    least = max(1, -(-n_symbols // nodes))
+        pairs = table.each(paired, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # 65,536 at most
+    two = _tally(pairs.column("gram").to_numpy().astype(np.uint64), pairs.column("n").to_numpy())
+    one = _tally(two[0] & np.uint64(0xFF), two[1])
+    least = max(1, -(-int(one[1].sum()) // nodes)) if nodes else 1
+    short = share(table.spark, [one, two])
+
+    def ask(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
+        keys, n = windows(chunk, learns(chunk.ids))
+        for b, at in dealt(keys, n_buckets):
+            body = pack(np.diff(keys[at], prepend=np.uint64(0)))
+            yield b, len(body).to_bytes(8, "big") + body + pack(n[at].astype(np.uint32))
 
-    def kept(group: pa.Table) -> pa.Table:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def asked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+        end = 8 + int.from_bytes(body[:8], "big")
+        return np.cumsum(unpack(body[8:end], np.uint64), dtype=np.uint64), unpack(body[end:], np.uint32).astype(np.int64)
+
+    def answer(bodies: list[bytes]) -> list[bytes]:
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         pending: list[tuple[np.ndarray, np.ndarray]] = []
-        for k, n in zip(group.column("keys"), group.column("counts")):
-            pending.append((np.cumsum(unpack(k.as_py(), np.uint64), dtype=np.uint64), unpack(n.as_py(), np.uint32).astype(np.int64)))
-            if sum(len(x) for x, _ in pending) > 1 << 21:
-                keys, counts = _tally(np.concatenate([keys, *(x for x, _ in pending)]), np.concatenate([counts, *(x for _, x in pending)]))
+        for i, body in enumerate(bodies):
+            pending.append(asked(body))
+            if sum(len(x) for x, _ in pending) > max(1 << 21, len(keys)) or i == len(bodies) - 1:
+                keys, n = _tally(np.concatenate([keys, *(x for x, _ in pending)]), np.concatenate([n, *(x for _, x in pending)]))
                 pending = []
-        keys, counts = _tally(np.concatenate([keys, *(x for x, _ in pending)]), np.concatenate([counts, *(x for _, x in pending)]))
+        counts = [(keys[n > 0], n[n > 0])]
+        for order in range(ORDER - 1, 1, -1):
+            k, c = counts[0]
+            counts.insert(0, _tally(k & np.uint64((1 << (8 * order + 8)) - 1), c))
+        model = Model([*short(), *counts], least)
+        pieces = [told(model, keys[i : i + PIECE]) for i in range(0, len(keys), PIECE)]
+        n, total, logs = (np.concatenate(x) for x in zip(*pieces))
         out = []
-        for order in range(ORDER, 1, -1):
-            if order < ORDER:
-                keys, counts = _tally(keys & np.uint64((1 << (8 * order + 8)) - 1), counts)
-            use = (counts >= least) | (order == 2)
-            out.append((np.full(int(use.sum()), order), keys[use], counts[use]))
-        return pa.table([pa.array(np.concatenate([x[0] for x in out])), pa.array(np.concatenate([x[1] for x in out]).view(np.int64)), pa.array(np.concatenate([x[2] for x in out]))], ["depth", "gram", "n"])
+        for body in bodies:
+            at = np.searchsorted(keys, asked(body)[0])
+            out.append(message(pack(n[at]), pack(total[at]), logs[at[n[at] == 0]].tobytes()))
+        return out
 
-    with tidy(table.spark):
-        grams = cut_lineage(parts.groupBy("bucket").applyInArrow(kept, "depth long, gram long, n long"))
-    deep = grams.filter((F.col("n") >= least)).toArrow()
-    pairs = grams.filter("depth = 2").groupBy((F.col("gram").bitwiseAND(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 at most
-    depth, gram, n = (deep.column(c).to_numpy() for c in ("depth", "gram", "n"))
-    gram = gram.view(np.uint64)
-    two = _tally(pairs.column("gram").to_numpy().astype(np.uint64), pairs.column("n").to_numpy())
-    one = _tally(two[0] & np.uint64(0xFF), two[1])
-    counts = [one, tuple(x[two[1] >= least] for x in two)]
-    for k in range(2, ORDER + 1):
-        order = np.argsort(gram[depth == k])
-        counts.append((gram[depth == k][order], n[depth == k][order]))
-    counts[0] = tuple(x[one[1] >= least] for x in one)
-    return Model(counts, n_texts, n_symbols)
+    return table.exchange(ask, answer), n_buckets
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, held_out: int = 2, chunk_bytes: int = chunks.CHUNK_BYTES, nodes: int = NODES) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, held_out: int = 2, chunk_bytes: int = chunks.CHUNK_BYTES, nodes: int | None = None) -> DataFrame:
     """Per document the model's log10 probability and that of the word unigram baseline.
 
     Documents whose crc32(doc_id as text) modulo ``modulus`` is ``held_out`` teach nothing.  A null text
     is empty: its one token is the end.  A null id counts as an empty one and learns.  Rows that
-    repeat are documents of their own.  Other columns are not read.
+    repeat are documents of their own.  Other columns are not read.  ``nodes`` bounds the nodes of each
+    order of the trie; without it all stay.
     """
     table = chunks.build(docs, doc_id, text, chunk_bytes)
     learns = lambda ids: remainder(ids, modulus) != held_out
-    model = share(table.spark, train(table, learns, nodes))
+    windows_known, window_buckets = trained(table, learns, nodes)
     n_buckets = table.buckets_for(table.n_bytes / 40)
 
     def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -262,11 +312,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus:
         logs = np.log10((c + 1) / (total + distinct + 1))
         base = np.array([logs[a:b].sum() for a, b in zip(first[:-1], first[1:])]) + np.log10((end + 1) / (total + distinct + 1))
         known = np.concatenate(([0], np.cumsum(c > 0)))
-        ppm = np.zeros(len(chunk.ids))
+        asked, got = windows(chunk, learns(chunk.ids))[0], chunk.answers["windows"]
+        known_logs = np.zeros(len(asked))
+        for b, at in dealt(asked, window_buckets):
+            known_logs[at] = heard(got[b])
+        asked, ppm = Lookup(asked), np.zeros(len(chunk.ids))
         for i, j in cuts(chunk.offs, PIECE):
             window, lens, _ = framed(chunk.buf[chunk.offs[i] : chunk.offs[j]], chunk.offs[i : j + 1] - chunk.offs[i])
-            ppm[i:j] = np.add.reduceat(model().log10(window), np.cumsum(lens) - lens)
+            ppm[i:j] = np.add.reduceat(known_logs[asked(window)], np.cumsum(lens) - lens)
         n = len(chunk.ids)
         yield pa.RecordBatch.from_arrays([id_array(chunk.ids), pa.array(~learns(chunk.ids)), pa.array(np.diff(first) + 1), pa.array(known[first[1:]] - known[first[:-1]] + (end > 0)), pa.array(np.full(n, total)), pa.array(base), pa.array(ppm)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return table.each(scored, SCHEMA, {"counts": counts})
+    return table.each(scored, SCHEMA, {"counts": counts, "windows": windows_known})

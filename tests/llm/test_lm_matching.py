@@ -78,3 +78,13 @@ def test_nothing_to_learn(spark):
     rows = [(held[0], "abc"), (held[1], None)]
     compare(lm_matching.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute(rows, lm_matching.NODES))
     assert lm_matching.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_node_is_dropped(spark, monkeypatch):
+    """The model of the query does not get coarser as the corpus grows."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40).collect()]
+    rows = [(i, t[:500]) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    default = lm_matching.score.__defaults__
+    monkeypatch.setattr(lm_matching.score, "__defaults__", tuple(200 if x == 1 << 22 else x for x in default))
+    compare(lm_matching.score(docs, chunk_bytes=3000).collect(), brute(rows, 1 << 62))
