@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import anomaly, audit, usage
@@ -52,6 +53,15 @@ cte(
 )
 
 
+def line_bills(spark, sf):
+    li = tables.table(spark, sf, "lineitem")
+    return li.select(
+        F.col("l_suppkey").alias("vendor"), F.floor(F.col("l_extendedprice") / 500).cast("long").alias("cents"),
+        F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("bill_id"), F.col("l_extendedprice").cast("double").alias("amount"),
+    )
+
+
 @query(
     "duplicate_band_join",
     twin(
@@ -61,12 +71,7 @@ cte(
     ),
 )
 def duplicate_band_join(spark, sf):
-    li = tables.table(spark, sf, "lineitem")
-    bills = li.select(
-        F.col("l_suppkey").alias("vendor"), F.floor(F.col("l_extendedprice") / 500).cast("long").alias("cents"),
-        F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("bill_id"),
-    )
+    bills = line_bills(spark, sf).select("vendor", "cents", "day", "bill_id")
     d = anomaly.first_duplicates(bills, "vendor", "cents", "day", "bill_id")
     return shown(d.groupBy("vendor", "cents", "day", "bill_id", "duplicate_of").agg(F.count(F.lit(1)).alias("copies")))
 
@@ -102,20 +107,21 @@ def isolation_forest(spark, sf):
 
 @query("duplicate_screen")
 def duplicate_screen(spark, sf):
-    """Exact pass over all bills, then density and robust z, with the three-way reason."""
-    c = tables.table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("bill_id"), F.col("s_nationkey").cast("long").alias("vendor"), F.round(F.col("s_acctbal") * 100).cast("long").alias("cents"),
-        (F.col("s_suppkey") % 30).alias("day"), F.col("s_acctbal").alias("amount"),
-    )
-    c = cut_lineage(c)
-    exact = anomaly.first_duplicates(c, "vendor", "cents", "day", "bill_id").select("bill_id", "duplicate_of")
-    feats = c.select("bill_id", "amount", F.col("day").cast("double").alias("due"), F.pmod(F.xxhash64("vendor"), F.lit(10_000)).cast("double").alias("code"))
-    dens = anomaly.dbscan(anomaly.standardize(feats, ["amount", "due", "code"]), "bill_id", ["z_amount", "z_due", "z_code"])
-    z = anomaly.robust_z(c.select("bill_id", "amount", F.lit(0).alias("g")), ["g"], "amount").drop("g", "flagged", "amount")
+    """Exact pass over all bills, then density, forest and robust z, with the three-way reason.
+
+    A bill_id can repeat; row_id adds the place among the rows that share it.
+    """
+    same = Window.partitionBy("bill_id").orderBy("vendor", "cents", "day", "amount")
+    c = cut_lineage(line_bills(spark, sf).withColumn("row_id", F.col("bill_id").cast("long") * (1 << 20) + F.row_number().over(same)))
+    exact = anomaly.first_duplicates(c, "vendor", "cents", "day", "bill_id").select("row_id", "bill_id", "duplicate_of")
+    feats = cut_lineage(c.select("row_id", "amount", F.col("day").cast("double").alias("due"), F.pmod(F.xxhash64("vendor"), F.lit(10_000)).cast("double").alias("code")))
+    dens = anomaly.dbscan(anomaly.standardize(feats, ["amount", "due", "code"]), "row_id", ["z_amount", "z_due", "z_code"])
+    forest = anomaly.isolation_forest(feats, "row_id", ["amount", "due", "code"]).withColumnRenamed("score", "forest_score")
+    z = anomaly.robust_z(c.select("row_id", "amount", F.lit(0).alias("g")), ["g"], "amount").drop("g", "flagged", "amount")
     reason = (
         F.when(F.col("duplicate_of").isNotNull(), "exact duplicate").when(F.col("cluster") >= 0, "near-duplicate candidate").otherwise("no duplicate signal")
     )
-    return shown(exact.join(dens, "bill_id").join(z, "bill_id").withColumn("reason", reason))
+    return shown(exact.join(dens, "row_id").join(forest, "row_id").join(z, "row_id").withColumn("reason", reason))
 
 
 def events_chain(spark, sf):

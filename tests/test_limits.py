@@ -37,3 +37,14 @@ def test_audit_text_is_json(spark):
     row = {"sequence": 1, "timestamp": odd, "actor_id": odd, "action": "x", "entity_type": "y", "entity_id": "z", "payload": '{"k":1}', "previous_hash": "0"}
     got = spark.createDataFrame([row]).select(audit.canonical_json()).first()[0]
     assert json.loads(got) == row | {"payload": {"k": 1}}
+
+
+def test_every_bill_is_screened(spark):
+    from ledgerloom.plans import screening_queries
+    from ledgerloom.sources import tables
+
+    rows = screening_queries.duplicate_screen(spark, "/root/testdata/sf0.001").toPandas()
+    assert len(rows) == tables.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert rows.row_id.is_unique and rows.flagged_by_forest.any() and not rows.flagged_by_forest.all()
+    band = screening_queries.duplicate_band_join(spark, "/root/testdata/sf0.001").toPandas()
+    assert (rows.reason == "exact duplicate").sum() == band[band.duplicate_of.notna()].copies.sum()
