@@ -20,11 +20,12 @@ from ledgerloom.llm.chunks import tidy
 from ledgerloom.session import cut_lineage
 
 THRESHOLD = 1
-#: Shorter lines are never removed.
+#: Shorter lines are never removed; the pipeline drops a document that has nothing else left.
 MIN_CHARS = 20
 HOT_LINES = 64
 FINE = 16
-_LAST = (1 << 63) - 1
+#: The place of documents without an id.
+LAST = (1 << 63) - 1
 
 
 def _start(n: Column, i: int, parts: int) -> Column:
@@ -61,7 +62,7 @@ def fine_keys(line: Column, m: Column, less: int) -> list[Column]:
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, row, pos, line, n, k1, k2) of the lines that are long enough; (k1, k2) names the line."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
     rows = rows.withColumn("n", F.char_length("line")).filter(F.col("n") >= MIN_CHARS)
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
 
@@ -120,7 +121,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
         place = F.struct("doc", "row", "pos")
         gone = _lines(docs, doc_id, text).select("doc", "row", "pos", "k1", "k2").join(late, ["k1", "k2"]).filter(F.col("late") | (place > F.col("first")))
         gone = cut_lineage(gone.select("doc", "row", "pos").distinct().groupBy("doc", "row").agg(F.collect_list("pos").alias("gone")))
-    rows = docs.select(*[c for c in docs.columns if c not in made]).withColumns({"doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "row": F.xxhash64(F.col(text))})
+    rows = docs.select(*[c for c in docs.columns if c not in made]).withColumns({"doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "row": F.xxhash64(F.col(text))})
     rows = rows.join(gone, ["doc", "row"], "left")
     every = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("gone", i)), "\n")
@@ -128,6 +129,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     return out.select(*[c for c in docs.columns if c not in made], *made)
 
 
+def stubs(found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, row) of the rows of ``dedup_lines`` that lost lines and keep no long one, only short ones of earlier documents."""
+    place = {"doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "row": F.xxhash64(F.col(text))}
+    rows = found.withColumns(place)
+    short = lambda x: (F.char_length(x) < MIN_CHARS) & x.rlike(r"\S")
+    lines = rows.select("doc", "row", F.explode(F.split(F.col(text), "\n", -1)).alias("line")).filter(short(F.col("line")))
+    firsts = lines.groupBy("line").agg(F.min(F.struct("doc", "row")).alias("first"))
+    left = F.split(F.col("kept_text"), "\n", -1)
+    bare = cut_lineage(rows.filter((F.col("n_removed") > 0) & ~F.exists(left, lambda x: F.char_length(x) >= MIN_CHARS)).select("doc", "row", F.array_distinct(F.filter(left, short)).alias("left")).distinct())
+    new = bare.select("doc", "row", F.explode("left").alias("line")).join(firsts, "line").filter(F.col("first") == F.struct("doc", "row")).select("doc", "row").distinct()
+    return cut_lineage(bare.select("doc", "row").join(new, ["doc", "row"], "left_anti"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     found = dedup_lines(docs.select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -75,3 +75,10 @@ def test_packed_ids(stages):
         whole.setdefault(p.doc_id, []).append(bytes(p.ids))
     assert sorted((str(i), b"".join(x)) for i, x in whole.items()) == want
     assert np.unique([(p.sequence_id, p.offset) for p in stages[5].collect()], axis=0).shape[0] == stages[5].count()
+
+
+def test_copies_leave_no_stub(spark):
+    long = "a line that is long enough to count"
+    rows = [(1, f"Title\n{long}\n\nEnd"), (2, f"Title\n{long}\n\nEnd"), (3, f"Other\n{long}\nEnd"), (4, "Title\nEnd"), (5, f"{long}\nMore\nMore"), (6, long), (None, f"End\n{long}")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    assert texts(corpus_pipeline.drop_repeated_lines(spark, docs, SF)) == {1: rows[0][1], 3: "Other\nEnd", 4: "Title\nEnd", 5: "More\nMore"}
