@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, decontamination, dedup_passages, embedding_dedup, line_dedup, lm_matching, ngram_join, packing, quality, toxicity
+from ledgerloom.llm import chat_format, decontamination, dedup_passages, embedding_dedup, line_dedup, lm_matching, ngram_join, packing, prefix_trie, projected_search, quality, toxicity
 from ledgerloom.llm.labelled import held_out
 
 
@@ -74,6 +74,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("text", "spans")
 
 
+def op12_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.query(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
@@ -85,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_partial_matching": op8_lm_partial_matching,
     "op9_chat_format": op9_chat_format,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_projected_search": op12_projected_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL, "op13_prefix_trie": prefix_trie.SQL}
