@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, decontamination, dedup_passages, embedding_dedup, line_dedup, lm_matching, ngram_join, packing, prefix_trie, projected_search, quality, toxicity
+from ledgerloom.llm import chat_format, decontamination, dedup_passages, embedding_dedup, line_dedup, lm_matching, ngram_join, packing, prefix_trie, projected_search, quality, token_alignment, toxicity
 from ledgerloom.llm.labelled import held_out
 
 
@@ -74,6 +74,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("text", "spans")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return token_alignment.aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected_search.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_partial_matching": op8_lm_partial_matching,
     "op9_chat_format": op9_chat_format,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_token_alignment": op11_token_alignment,
     "op12_projected_search": op12_projected_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
