@@ -23,7 +23,6 @@ import pickle
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +41,14 @@ RUN_TEXT = 16 << 20
 RUN_PAIRS = 1 << 17
 BLOCK_PAIRS = 1 << 14
 #: Units kept with their alignment in a task, and the longest kept; memory bounds that change no result.
-CACHED_UNITS = 300_000
+CACHED_UNITS = 400_000
 CACHED_CHARS = 64
 SHIFT = 16
 
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-_UNITS = re.compile(r"(?<=\S)(?= )")
+#: No token of either vocabulary joins what these places divide: a space behind anything but white space, and a mark behind a Latin letter.
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,;:!?]"
+_UNITS = re.compile(rf"(?<=\S)(?= )|(?<={_LETTER})(?={_MARK})")
 
 
 class Aligner:
@@ -65,77 +66,106 @@ class Aligner:
         # Byte-level tokens write printable Latin-1 as itself and the other bytes as code points from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(sorted(set(range(256)).difference(plain)))}
-        self.bytes_a = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        self.bytes_a = [b""] * (1 + max(vocabulary.values()))
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.name_a, self.name_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
+        self.splits = not any(re.search(f"[^▁]▁|{_LETTER}{_MARK}", p) for p in pieces)
+        # Tokenizer B puts a space before what it encodes, so a unit without one follows this letter.
+        self.lead = self.b.encode("a")
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.n_a, self.n_b, self.good, self.groups, self.pairs = [], [], [], [], []
+        self.groups: list[bytes] = []
+        self.facts = np.zeros((0, 4), np.int64)  # n_a, n_b, number of pairs, whether the bytes came back
+        self.pairs = np.zeros(0, np.uint32)
 
     def _aligned(self, raw: bytes, ids_a: list[int], ids_b: list[int]) -> tuple[bool, bytes, list[int]]:
         """Whether the tokens give the bytes back, the groups as text, and the pair that ends each group."""
         bytes_a, bytes_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
         if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
             return False, b"", []
+        name_a, name_b = [self.name_a[i] for i in ids_a], [self.name_b[i] for i in ids_b]
+        if len(ids_a) == 1 or len(ids_b) == 1:
+            return True, f"{','.join(name_a)}|{','.join(name_b)}".encode(), [ids_b[-1] << SHIFT | ids_a[-1]]
         groups, pairs = [], []
-        i = j = start_a = start_b = at_a = at_b = 0
-        while i < len(ids_a):
-            at_a += len(bytes_a[i])
-            i += 1
+        j = start_a = start_b = at_a = at_b = 0
+        for i, x in enumerate(bytes_a, 1):
+            at_a += len(x)
             while at_b < at_a:
                 at_b += len(bytes_b[j])
                 j += 1
             if at_b == at_a:
-                groups.append(",".join(map(str, ids_a[start_a:i])) + "|" + ",".join(map(str, ids_b[start_b:j])))
+                groups.append(",".join(name_a[start_a:i]) + "|" + ",".join(name_b[start_b:j]))
                 pairs.append(ids_b[j - 1] << SHIFT | ids_a[i - 1])
                 start_a, start_b = i, j
         return True, ";".join(groups).encode(), pairs
 
     def add(self, units: list[str]) -> None:
-        """Align units that all begin with a space; the space before a text is put there by tokenizer B itself."""
-        found_a = self.a.encode_batch(units, add_special_tokens=False)
-        found_b = self.b.encode([u[1:] for u in units], num_threads=1)
+        """Align new units."""
+        found_a = self.a.encode_batch_fast(units, add_special_tokens=False)
+        found_b = self.b.encode([u[1:] if u[0] == " " else "a" + u for u in units], num_threads=1)
+        facts, pairs = [], []
+        lead, n = self.lead, len(self.lead)
         for unit, a, b in zip(units, found_a, found_b):
-            good, groups, pairs = self._aligned(unit.encode(), a.ids, b)
-            self.known[unit] = len(self.good)
-            self.good.append(good)
-            self.n_a.append(len(a.ids))
-            self.n_b.append(len(b))
+            ids = a.ids
+            if unit[0] != " ":
+                b = b[n:] if b[:n] == lead else []
+            good, groups, found = self._aligned(unit.encode(), ids, b)
+            self.known[unit] = len(self.groups)
             self.groups.append(groups)
-            self.pairs.append(pairs)
+            facts.append((len(ids), len(b), len(found), good))
+            pairs += found
+        if facts:
+            self.facts = np.concatenate((self.facts, np.array(facts, np.int64)))
+            self.pairs = np.concatenate((self.pairs, np.array(pairs, np.uint32)))
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups) by text, digests, and for each pair its text and key; no tokens: zeros."""
         if len(self.known) > CACHED_UNITS:
             self.clear()
-        split = [_UNITS.split(" " + t) if t else [] for t in texts]
+        split = [(_UNITS.split(" " + t) if self.splits else [" " + t]) if t else [] for t in texts]
         every = set().union(*split)
-        self.add([u for u in every.difference(self.known)])
-        stats, digests = np.zeros((len(texts), 3), np.int64), []
-        owner, keys = [], []
-        known, good, groups, pairs, n_a, n_b = self.known, self.good, self.groups, self.pairs, self.n_a, self.n_b
-        for d, units in enumerate(split):
-            at = [known[u] for u in units]
-            if not all(good[k] for k in at):
-                text = texts[d]
+        self.add(list(every.difference(self.known)))
+        known, groups = self.known, self.groups
+        at = np.fromiter((known[u] for units in split for u in units), np.int64)
+        size = np.array([len(units) for units in split], np.int64)
+        owner = np.repeat(np.arange(len(texts)), size)
+        facts = self.facts[at]
+        sums = np.zeros((len(texts), 4), np.int64)
+        filled = np.flatnonzero(size)
+        if len(filled):
+            sums[filled] = np.add.reduceat(facts, (np.cumsum(size) - size)[filled])
+        fine = sums[:, 3] == size  # every unit came back
+        ends = np.cumsum(self.facts[:, 2])
+        n = facts[:, 2] * fine[owner]
+        where = np.arange(int(n.sum())) + np.repeat((ends - self.facts[:, 2])[at] - (np.cumsum(n) - n), n)
+        keys, owners = [self.pairs[where]], [np.repeat(owner, n)]
+        sums[~fine] = 0
+        digests, place = [], at.tolist()
+        i = 0
+        for d, text in enumerate(texts):
+            j = i + int(size[d])
+            line = b""
+            if fine[d]:
+                line = b";".join([groups[k] for k in place[i:j]])
+            else:  # a unit did not come back alone: the document as a whole
                 a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-                fine, line, found = self._aligned((" " + text).encode(), a, b)
-                n = (len(a), len(b)) if fine else (0, 0)
-            else:
-                line = b";".join([groups[k] for k in at])
-                found = list(chain.from_iterable([pairs[k] for k in at]))
-                n = (sum([n_a[k] for k in at]), sum([n_b[k] for k in at]))
-            stats[d] = (*n, len(found))
-            digests.append(hashlib.sha256(line).digest() if found else b"")
-            owner.append(len(found))
-            keys.append(np.array(found, np.uint32))
+                good, line, found = self._aligned((" " + text).encode(), a, b)
+                if good:
+                    sums[d] = len(a), len(b), len(found), 0
+                    keys.append(np.array(found, np.uint32))
+                    owners.append(np.full(len(found), d))
+            digests.append(hashlib.sha256(line).digest() if line else b"")
+            i = j
         for u in every:
             if len(u) > CACHED_CHARS:
-                k = known.pop(u)
-                groups[k], pairs[k] = b"", []
-        return stats, digests, np.repeat(np.arange(len(texts)), owner), np.concatenate(keys) if keys else np.zeros(0, np.uint32)
+                groups[known.pop(u)] = b""
+        return sums[:, :3], digests, np.concatenate(owners), np.concatenate(keys)
 
 
 def _blocks(values: list[np.ndarray]) -> list[tuple[bytes, ...]]:
