@@ -142,75 +142,60 @@ def lookup_join(
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    accuracy: int = 20_000,
-) -> DataFrame:
-    """Exact linearly interpolated quantiles without collecting a group.
+#: Width of the first buckets of ``exact_quantiles`` in powers of e, the values below which they are one bucket, and the parts of the later ones.
+_FOLDS, _TINY, _PARTS = 16, 1e-9, 4_096
 
-    A bounded sketch brackets every order statistic; one more pass counts the rows
-    under each bracket and keeps only the sliver inside it (about 4/accuracy of the
-    rows), which is counted by value before it is ranked.
-    """
-    keys = list(keys)
-    names = list(probs)
-    eps = 2.0 / accuracy
-    grid = []
-    for n in names:
-        grid += [max(0.0, probs[n] - eps), min(1.0, probs[n] + eps)]
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sketch = rows.groupBy(*keys).agg(
-        F.count("_v").alias("n"), F.percentile_approx("_v", grid, accuracy).alias("_grid")
-    )
-    keyed = [*keys] if keys else None
-    marked = rows.join(sketch, keyed) if keyed else rows.crossJoin(F.broadcast(sketch))
 
-    def lo(i: int) -> Column:
-        return F.col("_grid")[2 * i]
-
-    def hi(i: int) -> Column:
-        return F.col("_grid")[2 * i + 1]
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], parts: int = _PARTS) -> DataFrame:
+    """Exact linearly interpolated quantiles by radix selection: all keys and all ranks at once, counts only.
 
+    A pass counts the rows of each bucket and its smallest and largest value; the bucket that holds a
+    rank is divided again, until it holds one value or the rank is its first or last row.  The first
+    buckets are fixed steps of the logarithm, the next ones equal parts between the bucket's own limits.
+    Counts combine before they are shuffled, and only rows of buckets that are still open are read
+    on, so neither a hot key nor a hot value gathers rows in a task.  Nulls take no part, NaN is the largest value.
+    """
+    keys = list(keys)
     v = F.col("_v")
-    aggs = [F.max("n").alias("n")]
-    for i, n in enumerate(names):
-        aggs += [
-            F.count(F.when(v < lo(i), 1)).alias(f"_below_{n}"),
-            F.max(F.when(v < lo(i), v)).alias(f"_pred_{n}"),
-            F.min(F.when(v > hi(i), v)).alias(f"_succ_{n}"),
-        ]
-    edges = marked.groupBy(*keys).agg(*aggs)
-    hits = F.array_compact(
-        F.array(*[F.when((v >= lo(i)) & (v <= hi(i)), F.lit(n)) for i, n in enumerate(names)])
-    )
-    sliver = (
-        marked.select(*keys, "_v", F.explode(hits).alias("_q"))
-        .groupBy(*keys, "_q", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = Window.partitionBy(*keys, "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sliver.withColumn("_cum", F.sum("_c").over(upto))
-    picked_from = ranked.join(edges, keyed) if keyed else ranked.crossJoin(F.broadcast(edges))
-    picks = []
-    for n in names:
-        pos = (F.col("n") - 1) * F.lit(float(probs[n])) + 1
-        for tag, rank in (("f", F.floor(pos)), ("c", F.ceil(pos))):
-            r = rank - F.col(f"_below_{n}")
-            inside = (F.col("_q") == n) & (r <= F.col("_cum")) & (r > F.col("_cum") - F.col("_c"))
-            picks.append(F.max(F.when(inside, F.col("_v"))).alias(f"_{tag}_{n}"))
-    chosen = picked_from.groupBy(*keys).agg(*picks)
-    out = edges.join(chosen, keyed) if keyed else edges.crossJoin(F.broadcast(chosen))
+    first = F.when(F.isnan(v), F.lit(1 << 40)).otherwise(F.floor(F.signum(v) * F.log1p(F.abs(v) / _TINY) * _FOLDS).cast("long"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).withColumn("_b", first)
+    limits = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    per_key = Window.partitionBy(*keys)
+    ranks = []
+    for name, p in probs.items():
+        pos = (F.col("n") - 1) * F.lit(float(p)) + 1
+        ranks += [F.struct(F.lit(f"f_{name}").alias("tag"), F.floor(pos).cast("long").alias("r")), F.struct(F.lit(f"c_{name}").alias("tag"), F.ceil(pos).cast("long").alias("r"))]
+
+    def found(groups: DataFrame, within: Sequence[str], order: str) -> DataFrame:
+        """The ranks of ``_want`` with the bucket that holds each, and their places inside it."""
+        cum = F.sum("_c").over(Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        held = groups.withColumn("_below", cum - F.col("_c"))
+        inside = F.filter("_want", lambda w: (w["r"] > F.col("_below")) & (w["r"] <= F.col("_below") + F.col("_c")))
+        return held.withColumn("_w", F.explode(inside)).select(*keys, "n", "_b", "_lo", "_hi", "_c", F.col("_w.tag").alias("tag"), (F.col("_w.r") - F.col("_below")).alias("_r"))
+
+    groups = rows.groupBy(*keys, "_b").agg(*limits).withColumn("n", F.sum("_c").over(per_key)).withColumn("_want", F.array(*ranks))
+    picks = cut_lineage(found(groups, keys, "_b"))
+    closed = (F.col("_lo").eqNullSafe(F.col("_hi"))) | (F.col("_r") == 1) | (F.col("_r") == F.col("_c"))
+    at = F.when((F.col("_r") == 1) | F.col("_lo").eqNullSafe(F.col("_hi")), F.col("_lo")).otherwise(F.col("_hi"))
+    done = picks.filter(closed).select(*keys, "n", "tag", at.alias("_x"))
+    picks = picks.filter(~closed)
+    while picks.limit(1).count():
+        wanted = picks.groupBy(*keys, "n", "_b", "_lo", "_hi").agg(F.collect_list(F.struct("tag", F.col("_r").alias("r"))).alias("_want"))
+        named = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_old"), "n", "_lo", "_hi", "_want")
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b") == F.col("_old")]
+        share = (v / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        rows = rows.join(named.drop("n", "_want"), reduce(lambda a, b: a & b, same)).withColumn("_part", F.least(F.floor(share * parts), F.lit(parts - 1)).cast("long"))
+        rows = cut_lineage(rows.select(*keys, "_v", F.xxhash64("_b", "_part").alias("_b"), F.col("_b").alias("_old"), "_part"))
+        groups = rows.groupBy(*keys, "_old", "_b", "_part").agg(*limits)
+        again = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_old") == F.col("_from")]
+        groups = groups.join(named.drop("_lo", "_hi").withColumnRenamed("_old", "_from"), reduce(lambda a, b: a & b, again))
+        picks = cut_lineage(found(groups, [*keys, "_old"], "_part"))
+        done = done.unionByName(picks.filter(closed).select(*keys, "n", "tag", at.alias("_x")))
+        picks = picks.filter(~closed)
+    wide = done.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("tag") == f"{t}_{n}", F.col("_x"))).alias(f"_{t}_{n}") for n in probs for t in "fc"])
     final = []
-    for n in names:
-        pos = (F.col("n") - 1) * F.lit(float(probs[n])) + 1
-        f = F.when(F.floor(pos) <= F.col(f"_below_{n}"), F.col(f"_pred_{n}")).otherwise(
-            F.coalesce(F.col(f"_f_{n}"), F.col(f"_succ_{n}"))
-        )
-        c = F.when(F.ceil(pos) <= F.col(f"_below_{n}"), F.col(f"_pred_{n}")).otherwise(
-            F.coalesce(F.col(f"_c_{n}"), F.col(f"_succ_{n}"))
-        )
+    for n, p in probs.items():
+        pos = (F.col("n") - 1) * F.lit(float(p)) + 1
+        f, c = F.col(f"_f_{n}"), F.col(f"_c_{n}")
         final.append((f + (c - f) * (pos - F.floor(pos))).alias(n))
-    return out.select(*keys, "n", *final)
+    return wide.select(*keys, "n", *final)

@@ -19,19 +19,19 @@ RAIL_WORDS = (
 
 # Date layouts in order of preference: name, Spark pattern, shape of the cell (fixed values).
 DATE_FORMATS = (
-    ("Y-m-d", "y-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("Y/m/d", "y/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
-    ("d-b-Y", "d-MMM-y", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
-    ("d b Y", "d MMM y", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
-    ("d-B-Y", "d-MMMM-y", r"^\d{1,2}-[A-Za-z]+-\d{4}$"),
-    ("d/m/Y", "d/M/y", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("m/d/Y", "M/d/y", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("d-m-Y", "d-M-y", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("m-d-Y", "M-d-y", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("d/m/y", "d/M/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
-    ("m/d/y", "M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
+    ("year-month-day", "y-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("year/month/day", "y/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("day-mon-year", "d-MMM-y", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    ("day mon year", "d MMM y", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("day-monthname-year", "d-MMMM-y", r"^\d{1,2}-[A-Za-z]+-\d{4}$"),
+    ("day/month/year", "d/M/y", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("month/day/year", "M/d/y", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("day-month-year", "d-M-y", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("month-day-year", "M-d-y", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("day/month/yy", "d/M/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
+    ("month/day/yy", "M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
 )
-AMBIGUOUS = {"d/m/Y": "m/d/Y", "d-m-Y": "m-d-Y", "d/m/y": "m/d/y"}
+AMBIGUOUS = {"day/month/year": "month/day/year", "day-month-year": "month-day-year", "day/month/yy": "month/day/yy"}
 
 
 def parse_amount(cell: Column) -> Column:
@@ -72,11 +72,11 @@ def parse_date_named(cell: Column, name: Column) -> Column:
 
 
 def counterparty_name(narrative: Column) -> Column:
-    """Proper name left after separators, tokens with digits and rail words are removed."""
-    s = F.regexp_replace(F.coalesce(narrative, F.lit("")), r"[/\\|]", " ")
-    s = F.regexp_replace(s, r"\S*\d\S*", " ")
-    s = F.regexp_replace(s, r"(?i)\b(" + "|".join(RAIL_WORDS) + r")\b", " ")
-    s = F.btrim(F.regexp_replace(s, r"\s+", " "), F.lit(" -_."))
+    """Proper name from the words of a narrative: words with a digit go, and so do rail words, also inside hyphens."""
+    words = F.split(F.coalesce(narrative, F.lit("")), r"[\s/\\|]+")
+    kept = F.filter(words, lambda w: ~w.rlike("[0-9]"))
+    bare = F.transform(kept, lambda w: F.array_join(F.transform(F.split(w, r"\b"), lambda p: F.when(F.upper(p).isin(*RAIL_WORDS), " ").otherwise(p)), ""))
+    s = F.btrim(F.regexp_replace(F.array_join(bare, " "), r"\s+", " "), F.lit(" -_."))
     # A capital after anything that is not a letter, so after hyphens and apostrophes as well.
     runs = F.regexp_extract_all(F.lower(s), F.lit(r"(\p{L}+|\P{L}+)"), 1)
     return F.when(F.length(s) >= 3, F.array_join(F.transform(runs, F.initcap), "")).otherwise("UNKNOWN")
@@ -135,6 +135,7 @@ def noisy_date(line: Column) -> Column:
     return F.coalesce(*[F.when(t.rlike(p), part(p, o)) for p, o in ((dmy, (3, 2, 1)), (run, (3, 2, 1)), (iso, (1, 2, 3)))])
 
 
+# Patterns of numbers on documents (fixed values).
 INVOICE_PATTERN = r"(?i)[I1l|]NV[\s\-–_]?(\d{3,4})[\s\-–_]?(\d{2})(?!\d)"
 REGISTRATION_PATTERN = r"(?i)\d{2}[A-Z]{5}\d{4}[A-Z]"
 

@@ -24,7 +24,8 @@ def robust_z(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     Both medians are exact and found without collecting a group.
     """
     keys = list(keys)
-    med = exact_quantiles(rows, keys, value, {"_med": 0.5})
+    rows = cut_lineage(rows)  # read by each pass
+    med = cut_lineage(exact_quantiles(rows, keys, value, {"_med": 0.5}))
     dev = lookup_join(rows, med, keys, "n").withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
     mad = exact_quantiles(dev, keys, "_dev", {"_mad": 0.5}).join(med.select(*keys, "_med"), keys)
     z = F.when(F.col("_mad") > 0, MAD_TO_SIGMA * (F.col(value) - F.col("_med")) / F.col("_mad")).otherwise(0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import amount, units
 from ledgerloom.operators import allocation
-from ledgerloom.operators.forecast import SEASON
+from ledgerloom.operators.forecast import SEASON, Z_95
 
 VIEW = ["business_id", "as_of"]
 
@@ -56,70 +56,96 @@ def open_cells(payments: DataFrame, decisions: DataFrame) -> DataFrame:
     return hit.groupBy(*VIEW, "counterparty_id", F.datediff("due_date", "as_of").cast("long").alias("days_until_due")).agg(F.sum("_u").alias("due_u"))
 
 
-def panels(payments: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Mean settled delay by (decision date, month, payer); settled means paid by that date.
+def scenario_walks(points: DataFrame, decisions: DataFrame, cells: DataFrame, panel: DataFrame, n_scenarios: int, horizon: int) -> DataFrame:
+    """Historical scenarios of every decision date: their weight, lowest cash and first day without cash.
 
-    Payments are first summed per (payer, month, pay day), so the pairing with decision
-    dates is bounded by the calendar.
+    Scenarios that sample the same period share a path; its weight is how many scenarios chose it.
+    ``panel`` is an as-of panel of any grain.
     """
-    daily = payments.filter("paid").groupBy("business_id", "counterparty_id", F.trunc("issue_date", "month").alias("issue_month"), "paid_date").agg(
-        F.sum("delay_days").alias("_s"), F.count(F.lit(1)).alias("_n")
-    )
-    return (
-        daily.join(decisions.select(*VIEW), "business_id")
-        .filter(F.col("paid_date") <= F.col("as_of"))
-        .groupBy(*VIEW, "issue_month", "counterparty_id")
-        .agg((F.sum("_s") / F.sum("_n")).alias("delay_days"))
-    )
-
-
-def safe_spend_limits(points: DataFrame, decisions: DataFrame, cells: DataFrame, panel: DataFrame, n_scenarios: int, horizon: int, epsilon: float = 0.05) -> DataFrame:
-    """Safe spend of every decision date from its own historical scenarios.
-
-    Scenarios that sample the same month share a path; the quantile weighs each month by
-    how many scenarios chose it.
-    """
-    months = panel.select(*VIEW, "issue_month").distinct()
-    w = Window.partitionBy(*VIEW).orderBy("issue_month")
+    sampled = panel.select(*VIEW, "issue_period").distinct()
+    w = Window.partitionBy(*VIEW).orderBy("issue_period")
     n = F.count(F.lit(1)).over(Window.partitionBy(*VIEW))
-    numbered = months.withColumn("period_no", F.row_number().over(w) - 1).withColumn("n_periods", n)
-    # Scenario s takes month (31 s + business) mod n: whole rounds of n scenarios, and the rest of one.
-    def taken(count):
-        chosen = F.filter(F.sequence(F.lit(0).cast("long"), count - 1), lambda s: F.pmod(s * 31 + F.col("business_id"), F.col("n_periods")) == F.col("period_no"))
-        return F.when(count > 0, F.size(chosen)).otherwise(0)
-
-    total = F.lit(n_scenarios).cast("long")
-    picks = F.floor(total / F.col("n_periods")) * taken(F.col("n_periods")) + taken(total % F.col("n_periods"))
-    periods = numbered.withColumn("weight", picks.cast("long")).filter(F.col("weight") > 0)
+    numbered = sampled.withColumn("period_no", F.row_number().over(w) - 1).withColumn("n_periods", n)
+    periods = numbered.withColumn("weight", period_weight(n_scenarios)).filter(F.col("weight") > 0)
     day = F.floor(F.col("days_until_due") + F.col("delay_days"))
     arrivals = (
         cells.join(panel, [*VIEW, "counterparty_id"])
         .withColumn("_day", day)
         .filter((F.col("_day") >= 0) & (F.col("_day") < horizon))
-        .groupBy(*VIEW, "issue_month", (F.col("_day") + 1).alias("h"))
+        .groupBy(*VIEW, "issue_period", (F.col("_day") + 1).alias("h"))
         .agg(F.sum("due_u").alias("arrival_u"))
     )
     flows = (
         periods.join(points, VIEW)
-        .join(arrivals, [*VIEW, "issue_month", "h"], "left")
+        .join(arrivals, [*VIEW, "issue_period", "h"], "left")
         .withColumn("flow_u", F.col("point_u") + F.coalesce("arrival_u", F.lit(0)))
     )
-    walk = Window.partitionBy(*VIEW, "issue_month").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    low = (
+    walk = Window.partitionBy(*VIEW, "issue_period").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    opening = decisions.select(*VIEW, units("opening_balance").alias("open_u"))
+    return (
         flows.withColumn("walk_u", F.sum("flow_u").over(walk))
-        .groupBy(*VIEW, "issue_month", "weight")
-        .agg(F.min("walk_u").alias("low_u"))
-        .join(decisions.select(*VIEW, units("opening_balance").alias("open_u")), VIEW)
-        .withColumn("min_cash", amount(F.col("open_u") + F.col("low_u")))
+        .join(opening, VIEW)
+        .withColumn("cash_u", F.col("open_u") + F.col("walk_u"))
+        .groupBy(*VIEW, "issue_period", "weight")
+        .agg(amount(F.min("cash_u")).alias("min_cash"), F.min(F.when(F.col("cash_u") <= 0, F.col("h"))).alias("first_passage"))
     )
+
+
+def period_weight(n_scenarios: int) -> F.Column:
+    """How many of the scenarios s choose a period by (31 s + business) mod n_periods: whole rounds of n, and the rest of one."""
+
+    def taken(count):
+        chosen = F.filter(F.sequence(F.lit(0).cast("long"), count - 1), lambda s: F.pmod(s * 31 + F.col("business_id"), F.col("n_periods")) == F.col("period_no"))
+        return F.when(count > 0, F.size(chosen)).otherwise(0)
+
+    total = F.lit(n_scenarios).cast("long")
+    return (F.floor(total / F.col("n_periods")) * taken(F.col("n_periods")) + taken(total % F.col("n_periods"))).cast("long")
+
+
+def safe_spend_limits(walks: DataFrame, epsilon: float = 0.05) -> DataFrame:
+    """Safe spend of every decision date from its weighed scenarios."""
     q = F.percentile("min_cash", F.lit(epsilon), F.col("weight"))
     short = F.sum(F.when(F.col("min_cash") < 0, F.col("weight")).otherwise(0)) / F.sum("weight")
-    return low.groupBy(*VIEW).agg(
+    return walks.groupBy(*VIEW).agg(
         # rounded down to the money grid: a limit may not be exceeded by rounding
         F.greatest(F.lit(0.0), F.floor(q * 10000 + 0.001) / 10000.0).alias("safe_spend"), short.alias("baseline_shortfall")
     )
 
 
+def replay_runway(walks: DataFrame, horizon: int, confidence: float = 0.95) -> DataFrame:
+    """Runway at risk of every decision date and the mean of the scenarios at or below it."""
+    days = walks.withColumn("days", F.coalesce("first_passage", F.lit(horizon)).cast("double"))
+    q = days.groupBy(*VIEW).agg(F.percentile("days", F.lit(1.0 - confidence), F.col("weight")).alias("_q"))
+    tail = F.when(F.col("days") <= F.col("_q"), F.col("weight"))
+    return days.join(q, VIEW).groupBy(*VIEW).agg(
+        F.floor(F.max("_q")).alias("runway_at_risk_days"), F.coalesce(F.sum(F.col("days") * tail) / F.sum(tail), F.max("_q")).alias("conditional_runway_at_risk_days")
+    )
+
+
+def step_table(steps: DataFrame, runway: DataFrame, calibration: DataFrame) -> DataFrame:
+    """The replay's steps with the forecast model in use, its conformal multiplier and the runway at that date.
+
+    ``calibration``: business_id, as_of, model, q_hat.
+    """
+    return steps.join(runway, VIEW).join(calibration.select(*VIEW, F.col("model").alias("forecast_model"), "q_hat"), VIEW)
+
+
+def usage_summary(table: DataFrame) -> DataFrame:
+    """Steps, multiplier and runway spread by model, by strategy, and over all steps, in one pass of grouping sets.
+
+    Medians come from counts of days, which are whole numbers up to the horizon for the runway at risk; group_kind tells the sets apart.
+    """
+    q, r, c = F.col("q_hat"), F.col("runway_at_risk_days"), F.col("conditional_runway_at_risk_days")
+    sets = [[F.col("forecast_model")], [F.col("strategy")], []]
+    kind = F.when(F.grouping("forecast_model") == 0, "model").when(F.grouping("strategy") == 0, "strategy").otherwise("all")
+    return table.groupingSets(sets, F.col("forecast_model"), F.col("strategy")).agg(
+        kind.alias("group_kind"), F.count(F.lit(1)).alias("n_steps"),
+        F.avg(q).alias("mean_q_hat"), (F.avg(q) / Z_95).alias("scale_ratio"), F.min(q).alias("min_q_hat"), F.max(q).alias("max_q_hat"),
+        F.min(r).alias("min_runway_at_risk"), F.percentile(r, F.lit(0.5)).alias("median_runway_at_risk"), F.max(r).alias("max_runway_at_risk"),
+        F.min(c).alias("min_conditional_runway"), F.percentile(c, F.lit(0.5)).alias("median_conditional_runway"), F.max(c).alias("max_conditional_runway"),
+    )
+
+
 Strategy = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 STRATEGIES: Mapping[str, Strategy] = {

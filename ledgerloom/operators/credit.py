@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.spread import block_of
+from ledgerloom.functions.spread import block_of, lookup_join, running_totals
 from ledgerloom.session import cut_lineage
 
 FEATURES = [
@@ -99,6 +99,58 @@ def credit_features(payments: DataFrame, min_history: int = MIN_PRIOR) -> DataFr
     )
 
 
+def strict_features(payments: DataFrame, min_history: int = MIN_PRIOR) -> DataFrame:
+    """The ten features from what was known when the invoice was issued: an outcome counts from the day after its pay date.
+
+    Invoices of a payer settle out of order, so issues, due dates and settlements are events of one timeline:
+    running sums over a payer's days give what was known before each day, and invoices of one day
+    follow each other by id.  Numbers of earlier invoices and their amounts are as in ``credit_features``.  Delays, their
+    trend (in order of pay date, then id) and the largest come from settlements before the issue date.  The default
+    rate is the share of invoices due by then that are not settled; 0 while none is due.
+    Days are sums that combine before they are shuffled; a payer's window holds one row per day.
+    """
+    day = [*PAYER, "day"]
+    cents = F.round(F.col("amount") * 100).cast("long")
+    paid = payments.filter(F.col("paid") & F.col("paid_date").isNotNull())
+    settled = running_totals(paid.select(*PAYER, F.col("paid_date").alias("day"), "invoice_id", F.col("delay_days").cast("double").alias("d")), day, [], "invoice_id", {"seq": F.lit(1)}, inclusive=False)
+    d = F.col("d")
+    parts = [
+        settled.groupBy(*day).agg(F.count(F.lit(1)).alias("k"), F.sum(d).alias("d"), F.sum(d * d).alias("dd"), F.sum(F.col("seq") * d).alias("sd"), F.max(d).alias("mx")),
+        payments.groupBy(*PAYER, F.col("due_date").alias("day")).agg(F.count(F.lit(1)).alias("due")),
+        paid.groupBy(*PAYER, F.greatest("due_date", "paid_date").alias("day")).agg(F.count(F.lit(1)).alias("met")),
+        payments.groupBy(*PAYER, F.col("issue_date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(cents).alias("amt")),
+    ]
+    events = parts[0]
+    for more in parts[1:]:
+        events = events.unionByName(more, allowMissingColumns=True)
+    sums = ["k", "d", "dd", "sd", "due", "met", "n", "amt"]
+    days = events.groupBy(*day).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.max("mx").alias("mx"))
+    before = Window.partitionBy(*PAYER).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    known = days.withColumns({f"o_{c}": total(c) for c in sums if c != "sd"} | {"o_mx": F.max("mx").over(before), "o_last": F.max(F.when(F.col("n") > 0, F.col("day"))).over(before)})
+    known = known.withColumn("o_sd", total(F.col("sd") + F.col("o_k") * F.col("d"))).filter("n > 0")
+    known = known.select(*PAYER, F.col("day").alias("issue_date"), F.col("n").alias("_n"), *[f"o_{c}" for c in (*sums, "mx", "last")])
+    rows = running_totals(payments.select(*PAYER, "invoice_id", "issue_date", "due_date", "amount", "paid"), [*PAYER, "issue_date"], [], "invoice_id", {"l_n": F.lit(1), "l_amt": cents}, inclusive=False)
+    j = lookup_join(rows, known, [*PAYER, "issue_date"], "_n")
+    n, k = F.col("o_n") + F.col("l_n"), F.col("o_k").cast("double")
+    s1, s2 = k * (k - 1) / 2, (k - 1) * k * (2 * k - 1) / 6
+    mean_amount = (F.col("o_amt") + F.col("l_amt")) / 100.0 / n
+    last = F.when(F.col("l_n") > 0, F.col("issue_date")).otherwise(F.col("o_last"))
+    return j.filter(n >= min_history).select(
+        *PAYER, "invoice_id", n.cast("double").alias("n_prior_invoices"),
+        F.when(F.col("o_due") > 0, (F.col("o_due") - F.col("o_met")) / F.col("o_due")).otherwise(0.0).alias("prior_default_rate"),
+        F.when(k > 0, F.col("o_d") / k).otherwise(0.0).alias("mean_prior_delay"),
+        F.when(k > 1, F.sqrt(F.greatest(F.lit(0.0), k * F.col("o_dd") - F.col("o_d") * F.col("o_d")) / (k * (k - 1)))).otherwise(0.0).alias("std_prior_delay"),
+        F.coalesce("o_mx", F.lit(0.0)).alias("max_prior_delay"),
+        F.when(k > 1, (k * F.col("o_sd") - s1 * F.col("o_d")) / (k * s2 - s1 * s1)).otherwise(0.0).alias("delay_trend"),
+        F.coalesce(F.datediff("issue_date", last), F.lit(0)).cast("double").alias("days_since_last_invoice"),
+        F.log1p("amount").alias("log_amount"),
+        F.when(mean_amount > 0, F.col("amount") / mean_amount).otherwise(1.0).alias("amount_vs_counterparty_mean"),
+        F.datediff("due_date", "issue_date").cast("double").alias("payment_terms_days"),
+        (1 - F.col("paid").cast("long")).alias("label"),
+    )
+
+
 def rule_score(features: DataFrame) -> DataFrame:
     """mean_prior_delay * log_amount, min-max scaled over the scored set; 0 if flat."""
     raw = features.withColumn("_raw", F.col("mean_prior_delay") * F.col("log_amount"))
@@ -265,18 +317,13 @@ def rule_attribution(features: DataFrame) -> DataFrame:
 
 
 def rationale(probability: Column, contributions: str, top_k: int = 3) -> Column:
-    """Sentence naming the strongest contributions."""
-    part = F.transform(
+    """The strongest contributions by name and value; a sign tells which way each moves the chance of default."""
+    named = F.transform(
         F.slice(contributions, 1, top_k),
-        lambda c: F.concat(
-            F.replace(c["feature"], F.lit("_"), F.lit(" ")), F.lit(" ("), F.format_number(c["value"], 2), F.lit(") "),
-            F.when(c["direction"] == "increases_risk", "raises").otherwise("lowers"), F.lit(" the estimate"),
-        ),
-    )
-    pct = F.concat(F.format_string("%.1f", probability * 100.0), F.lit("%"))
-    return F.when(F.size(contributions) == 0, F.concat(F.lit("Estimated default probability "), pct, F.lit(". No attribution available."))).otherwise(
-        F.concat(F.lit("Estimated default probability "), pct, F.lit(". Main drivers: "), F.array_join(part, "; "), F.lit("."))
+        lambda c: F.concat(F.when(c["direction"] == "increases_risk", "+").otherwise("-"), c["feature"], F.lit("="), F.format_number(c["value"], 2)),
     )
+    chance = F.format_string("default chance %.1f %%", probability * 100.0)
+    return F.when(F.size(contributions) > 0, F.concat(chance, F.lit(" from "), F.array_join(named, ", "))).otherwise(F.concat(chance, F.lit(", no inputs")))
 
 
 def training_fingerprint(features: DataFrame, model: str) -> DataFrame:

@@ -32,20 +32,39 @@ def usable_delays(settled: DataFrame) -> DataFrame:
     )
 
 
-def observed_delays(payments: DataFrame) -> DataFrame:
-    """Paid invoices only: a default is censored, not an infinite delay."""
-    return payments.filter("paid").select(*KEYS, "invoice_id", "issue_date", F.col("delay_days").cast("double").alias("delay_days"))
+def period_of(grain: str = "day") -> Column:
+    """Period of an invoice: its issue date, or the week, month, quarter or year that holds it."""
+    return F.col("issue_date") if grain == "day" else F.trunc("issue_date", grain)
 
 
-def delay_panel(payments: DataFrame) -> DataFrame:
-    """Mean paid delay by issue month and payer, in long form."""
+def delay_panel(payments: DataFrame, grain: str = "day") -> DataFrame:
+    """Mean paid delay by issue period and payer, in long form; a default is a missing cell, not a delay."""
     return (
         payments.filter("paid")
-        .groupBy("business_id", F.trunc("issue_date", "month").alias("issue_month"), "counterparty_id")
+        .groupBy("business_id", period_of(grain).alias("issue_period"), "counterparty_id")
         .agg(F.avg("delay_days").alias("delay_days"))
     )
 
 
+def asof_panel(payments: DataFrame, decisions: DataFrame, grain: str = "day") -> DataFrame:
+    """The panel as it was known at every decision date: business_id, as_of, issue_period, counterparty_id, delay_days.
+
+    Settlements, summed by day, and decision dates are one timeline for each (payer, period); running sums
+    along it are read off at the decisions.  So history rows are shuffled once, and nothing but the
+    cells of the answer is made for a decision date.  A payment counts from its pay date on.
+    """
+    cell = ["business_id", "counterparty_id", "issue_period"]
+    settled = payments.filter("paid").groupBy("business_id", "counterparty_id", period_of(grain).alias("issue_period"), F.col("paid_date").alias("at")).agg(
+        F.sum("delay_days").alias("s"), F.count(F.lit(1)).alias("n")
+    )
+    known = settled.groupBy(*cell).agg(F.min("at").alias("since"))
+    reads = known.join(decisions.select("business_id", F.col("as_of").alias("at")), "business_id").filter(F.col("at") >= F.col("since"))
+    timeline = settled.withColumn("is_read", F.lit(0)).unionByName(reads.drop("since").withColumn("is_read", F.lit(1)), allowMissingColumns=True)
+    upto = Window.partitionBy(*cell).orderBy("at", "is_read").rowsBetween(Window.unboundedPreceding, 0)
+    mean = F.sum("s").over(upto) / F.sum("n").over(upto)
+    return timeline.withColumn("delay_days", mean).filter("is_read = 1").select("business_id", F.col("at").alias("as_of"), "issue_period", "counterparty_id", "delay_days")
+
+
 def tie_rank(keys: list[str], value: str) -> Column:
     """Average rank over ties within small groups."""
     r = F.rank().over(Window.partitionBy(*keys).orderBy(value))
@@ -57,14 +76,14 @@ def spearman_pairs(panel: DataFrame) -> DataFrame:
     """Copula parameter 2 sin(pi rs / 6) for every payer pair of a business.
 
     The output itself is one row per pair.  The panel is already reduced to one cell
-    per (month, payer), and the join key includes the month, so a business with many
+    per (period, payer), and the join key includes the period, so a business with many
     invoices costs no more than one with few.  Ranks are taken within the pair, over
-    the months both payers have.
+    the periods both payers have.
     """
-    a = panel.select("business_id", "issue_month", F.col("counterparty_id").alias("cp_i"), F.col("delay_days").alias("x"))
-    b = panel.select("business_id", "issue_month", F.col("counterparty_id").alias("cp_j"), F.col("delay_days").alias("y"))
+    a = panel.select("business_id", "issue_period", F.col("counterparty_id").alias("cp_i"), F.col("delay_days").alias("x"))
+    b = panel.select("business_id", "issue_period", F.col("counterparty_id").alias("cp_j"), F.col("delay_days").alias("y"))
     pair = ["business_id", "cp_i", "cp_j"]
-    both = a.join(b, ["business_id", "issue_month"]).filter(F.col("cp_i") < F.col("cp_j"))
+    both = a.join(b, ["business_id", "issue_period"]).filter(F.col("cp_i") < F.col("cp_j"))
     ranked = both.withColumn("rx", tie_rank(pair, "x")).withColumn("ry", tie_rank(pair, "y"))
     n, sx, sy = F.count(F.lit(1)), F.sum("rx"), F.sum("ry")
     agg = ranked.groupBy(*pair).agg(

@@ -6,6 +6,8 @@ bounded by the calendar, not by the number of transactions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,9 +95,20 @@ def too_short(history: DataFrame, horizon: int) -> DataFrame:
     )
 
 
-def naive_residuals(history: DataFrame, folds: DataFrame, value: str, horizon: int) -> DataFrame:
+def asof_folds(decisions: DataFrame, horizon: int, n_folds: int) -> DataFrame:
+    """The walk-forward folds of every decision date, from how many history rows it has (history_rows is the last one's number)."""
+    sized = decisions.select("business_id", "as_of", (F.col("history_rows") + 1).alias("n")).withColumn("min_train", F.greatest(F.floor(F.col("n") / 2), F.lit(4 * SEASON)))
+    usable = F.col("n") - F.col("min_train")
+    k = F.greatest(F.lit(1), F.least(F.lit(n_folds), F.floor(usable / horizon))).cast("long")
+    folds = sized.filter(usable >= horizon).withColumn("k", k).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    end = F.col("n") - (F.col("k") - 1 - F.col("fold")) * horizon
+    return folds.select("business_id", "as_of", "fold", (end - horizon).alias("train_end"), end.alias("test_end"), "min_train").filter("train_end >= min_train").drop("min_train")
+
+
+def naive_residuals(history: DataFrame, folds: DataFrame, value: str, horizon: int, keys: Sequence[str] = ("business_id",)) -> DataFrame:
     """Held-out residual and scale of the seasonal naive model per (series, fold, h).
 
+    ``keys`` may hold as_of, when the folds are those of many decision dates of one history.
     The training scale is a running lag-7 standard deviation, so all folds share one
     pass; the fold's forecast is a lookup 7 * ceil(h / 7) rows back.
     """
@@ -118,7 +131,7 @@ def naive_residuals(history: DataFrame, folds: DataFrame, value: str, horizon: i
         .join(guess, ["business_id", "src"])
         .join(scale, ["business_id", "train_end"])
         .select(
-            "business_id",
+            *keys,
             F.lit("seasonal_naive").alias("model"),
             "fold",
             "h",
@@ -179,13 +192,16 @@ def select_model(scores: DataFrame, models: list[str]) -> DataFrame:
     )
 
 
-def scale_profile(residuals: DataFrame, floor: float = 1e-9) -> DataFrame:
+SERIES = ("business_id", "model")
+
+
+def scale_profile(residuals: DataFrame, floor: float = 1e-9, keys: Sequence[str] = SERIES) -> DataFrame:
     """a * h^gamma through the RMS residual per horizon; gamma clipped to [0, 1], a kept."""
-    per_h = residuals.groupBy("business_id", "model", "h").agg(
+    per_h = residuals.groupBy(*keys, "h").agg(
         F.greatest(F.sqrt(F.avg(F.pow("residual", F.lit(2.0)))), F.lit(floor)).alias("rms")
     )
     x, y = F.log(F.col("h").cast("double")), F.log("rms")
-    fitted = per_h.groupBy("business_id", "model").agg(
+    fitted = per_h.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_h"),
         F.avg("rms").alias("flat"),
         F.regr_slope(y, x).alias("slope"),
@@ -193,20 +209,18 @@ def scale_profile(residuals: DataFrame, floor: float = 1e-9) -> DataFrame:
     )
     short = F.col("n_h") < 3
     return fitted.select(
-        "business_id",
-        "model",
+        *keys,
         "n_h",
         F.when(short, F.col("flat")).otherwise(F.exp("icpt")).alias("a"),
         F.when(short, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("slope")))).alias("gamma"),
     )
 
 
-def conformal_multiplier(scored: DataFrame, confidence: float = 0.95) -> DataFrame:
+def conformal_multiplier(scored: DataFrame, confidence: float = 0.95, keys: Sequence[str] = SERIES) -> DataFrame:
     """Split-conformal multiplier from (residual, scale) rows pooled per series and model.
 
     Scores per series number folds * horizon, a design constant, so the rank window is small.
     """
-    keys = ["business_id", "model"]
     ok = F.col("residual").isNotNull() & ~F.isnan("residual") & (F.col("scale") > 0) & (F.abs("residual") < float("inf"))
     scores = scored.filter(ok).withColumn("score", F.abs("residual") / F.col("scale"))
     w = Window.partitionBy(*keys).orderBy("score")
@@ -220,7 +234,7 @@ def conformal_multiplier(scored: DataFrame, confidence: float = 0.95) -> DataFra
         rank.alias("rank"),
         (rank <= F.col("_n")).alias("achieved"),
     )
-    every = scored.select(*keys).distinct().join(found, keys, "left")
+    every = scored.select(*keys).distinct().join(found, list(keys), "left")
     return every.select(
         *keys,
         F.coalesce("q_hat", F.lit(1.0)).alias("q_hat"),
@@ -231,9 +245,9 @@ def conformal_multiplier(scored: DataFrame, confidence: float = 0.95) -> DataFra
     )
 
 
-def profile_scored(residuals: DataFrame, profile: DataFrame) -> DataFrame:
+def profile_scored(residuals: DataFrame, profile: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Residuals with the fitted power-law scale in place of the model's own."""
-    return residuals.drop("scale").join(profile, ["business_id", "model"]).withColumn(
+    return residuals.drop("scale").join(profile, list(keys)).withColumn(
         "scale", F.col("a") * F.pow(F.col("h").cast("double"), F.col("gamma"))
     )
 

@@ -84,40 +84,66 @@ FORECASTERS: Mapping[str, tuple[Forecaster, bool]] = {
 }
 
 
-def forecast(history: DataFrame, value: str, horizon: int, model: str) -> DataFrame:
-    """(business, h, point, scale) of one model fitted on whole histories."""
-    fn = FORECASTERS[model][0]
+#: Fewest days that a forecaster is fitted on.
+LEAST_DAYS = 4 * SEASON
+
+
+def _fitted(y: np.ndarray, horizon: int, model: str) -> tuple[np.ndarray, np.ndarray, str | None]:
+    """(point, scale, why there is none) of one model on one series."""
+    if len(y) < LEAST_DAYS:
+        return np.empty(0), np.empty(0), f"{len(y)} days; need >= {LEAST_DAYS}"
+    try:
+        point, scale = FORECASTERS[model][0](y, horizon)
+    except (ValueError, np.linalg.LinAlgError) as e:
+        return np.empty(0), np.empty(0), f"fit failed: {e}"
+    if not (np.isfinite(point).all() and np.isfinite(scale).all()):
+        return np.empty(0), np.empty(0), "fit failed: values are not finite"
+    return point, scale, None
+
+
+def routed_forecast(history: DataFrame, routes: DataFrame, value: str, horizon: int) -> DataFrame:
+    """(business_id, model, h, point, scale, reason): each series forecast by the model that ``routes`` names for it.
+
+    A series that the model cannot fit is one row with the reason and no h.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("date")[value].to_numpy(float)
-        if len(y) < 4 * SEASON:
-            return pd.DataFrame({"business_id": [], "h": [], "point": [], "scale": []}).astype({"business_id": "int64", "h": "int64"})
-        point, scale = fn(y, horizon)
-        return pd.DataFrame({"business_id": pdf["business_id"].iloc[0], "h": np.arange(1, horizon + 1), "point": point, "scale": scale})
+        model = pdf["model"].iloc[0]
+        point, scale, reason = _fitted(pdf.sort_values("date")[value].to_numpy(float), horizon, model)
+        n = len(point)
+        h = pd.array(np.arange(1, n + 1) if n else [None], dtype="Int64")
+        return pd.DataFrame({"business_id": pdf["business_id"].iloc[0], "model": model, "h": h, "point": point if n else [np.nan], "scale": scale if n else [np.nan], "reason": reason})
 
-    out = history.select("business_id", "date", value).groupBy("business_id").applyInPandas(run, "business_id long, h long, point double, scale double")
-    return out.withColumn("model", F.lit(model))
+    rows = history.select("business_id", "date", value).join(routes.select("business_id", "model"), "business_id")
+    out = rows.groupBy("business_id", "model").applyInPandas(run, "business_id long, model string, h long, point double, scale double, reason string")
+    return out.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("point", "scale")})
 
 
-def fold_residuals(history: DataFrame, folds: DataFrame, value: str, horizon: int, model: str) -> DataFrame:
-    """Held-out residuals of a fitted model: every (series, fold) is its own group."""
-    fn = FORECASTERS[model][0]
+def forecast(history: DataFrame, value: str, horizon: int, model: str) -> DataFrame:
+    """(business, h, point, scale, model) of one model fitted on whole histories; series it cannot fit have no row here."""
+    routes = history.select("business_id").distinct().withColumn("model", F.lit(model))
+    return routed_forecast(history, routes, value, horizon).filter("reason is null").select("business_id", "h", "point", "scale", "model")
+
+
+def fold_outcomes(history: DataFrame, folds: DataFrame, value: str, horizon: int, model: str) -> DataFrame:
+    """Held-out residuals of a fitted model, every (series, fold) its own group; a fold that fails is one row with the reason."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         cut, end = int(pdf["train_end"].iloc[0]), int(pdf["test_end"].iloc[0])
         y = pdf[value].to_numpy(float)
-        try:
-            point, scale = fn(y[:cut], end - cut)
-        except (ValueError, np.linalg.LinAlgError):
-            point = scale = np.full(end - cut, np.nan)
+        point, scale, reason = _fitted(y[:cut], end - cut, model)
+        one = {"business_id": pdf["business_id"].iloc[0], "fold": pdf["fold"].iloc[0], "reason": reason}
+        if reason:
+            return pd.DataFrame([one | {"h": 0, "actual": np.nan, "predicted": np.nan, "residual": np.nan, "scale": np.nan}])
         actual = y[cut:end]
-        return pd.DataFrame({
-            "business_id": pdf["business_id"].iloc[0], "fold": pdf["fold"].iloc[0], "h": np.arange(1, end - cut + 1), "actual": actual,
-            "predicted": point, "residual": actual - point, "scale": scale,
-        })
+        return pd.DataFrame(one | {"h": np.arange(1, end - cut + 1), "actual": actual, "predicted": point, "residual": actual - point, "scale": scale})
 
     grid = folds.join(history.select("business_id", "date", value), "business_id")
-    schema = "business_id long, fold long, h long, actual double, predicted double, residual double, scale double"
-    out = grid.groupBy("business_id", "fold").applyInPandas(run, schema)
-    return out.filter(~F.isnan("residual")).withColumn("model", F.lit(model))
+    schema = "business_id long, fold long, h long, actual double, predicted double, residual double, scale double, reason string"
+    return grid.groupBy("business_id", "fold").applyInPandas(run, schema).withColumn("model", F.lit(model))
+
+
+def fold_residuals(history: DataFrame, folds: DataFrame, value: str, horizon: int, model: str) -> DataFrame:
+    """The held-out residuals alone."""
+    return fold_outcomes(history, folds, value, horizon, model).filter("reason is null").drop("reason")

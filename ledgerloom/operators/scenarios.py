@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import amount, units
 
+# Horizons of the ruin curve in days (fixed values).
 RUIN_HORIZONS = (7, 14, 30, 45, 60, 90, 120, 180)
 
 
@@ -28,18 +29,23 @@ def receivable_cells(outstanding: DataFrame) -> DataFrame:
 
 def numbered_periods(panel: DataFrame) -> DataFrame:
     """Sampled periods (issue months) of each business, numbered from zero."""
-    months = panel.select("business_id", "issue_month").distinct()
-    w = Window.partitionBy("business_id").orderBy("issue_month")
+    months = panel.select("business_id", "issue_period").distinct()
+    w = Window.partitionBy("business_id").orderBy("issue_period")
     return months.withColumn("period_no", F.row_number().over(w).cast("long") - 1).withColumn(
         "n_periods", F.count(F.lit(1)).over(Window.partitionBy("business_id"))
     )
 
 
-def historical_scenarios(spark: SparkSession, periods: DataFrame, n_scenarios: int) -> DataFrame:
-    """Scenario -> past month, by fixed arithmetic on the scenario number."""
+def scenario_numbers(periods: DataFrame, n_scenarios: int) -> DataFrame:
+    """(business_id, n_periods, scenario_id): whole rounds of a business's periods, at least ``n_scenarios`` in all."""
     sizes = periods.select("business_id", "n_periods").distinct()
-    ids = spark.range(n_scenarios).withColumnRenamed("id", "scenario_id")
-    return sizes.crossJoin(F.broadcast(ids)).select(
+    last = F.ceil(F.lit(n_scenarios) / F.col("n_periods")) * F.col("n_periods") - 1
+    return sizes.withColumn("scenario_id", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+
+
+def historical_scenarios(periods: DataFrame, n_scenarios: int) -> DataFrame:
+    """Scenario -> past period, by fixed arithmetic on the scenario number; every period is drawn equally often."""
+    return scenario_numbers(periods, n_scenarios).select(
         "business_id", "scenario_id", F.pmod(F.col("scenario_id") * 31 + F.col("business_id"), F.col("n_periods")).alias("period_no")
     )
 
@@ -54,7 +60,7 @@ def period_arrivals(cells: DataFrame, panel: DataFrame, periods: DataFrame, hori
     A month without a delay for a payer (a default) brings no cash; arrivals before
     day zero or beyond the horizon never land.
     """
-    delays = panel.join(periods, ["business_id", "issue_month"]).select("business_id", "counterparty_id", "period_no", "delay_days")
+    delays = panel.join(periods, ["business_id", "issue_period"]).select("business_id", "counterparty_id", "period_no", "delay_days")
     day = F.floor(F.col("days_until_due") + F.col("delay_days"))
     return (
         cells.join(delays, ["business_id", "counterparty_id"])
@@ -67,7 +73,7 @@ def period_arrivals(cells: DataFrame, panel: DataFrame, periods: DataFrame, hori
 
 def dropped_overdue(cells: DataFrame, panel: DataFrame, periods: DataFrame) -> DataFrame:
     """Amount per (business, period) whose arrival would fall before day zero."""
-    delays = panel.join(periods, ["business_id", "issue_month"]).select("business_id", "counterparty_id", "period_no", "delay_days")
+    delays = panel.join(periods, ["business_id", "issue_period"]).select("business_id", "counterparty_id", "period_no", "delay_days")
     day = F.floor(F.col("days_until_due") + F.col("delay_days"))
     return (
         cells.join(delays, ["business_id", "counterparty_id"])

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text
 from ledgerloom.functions.spread import lookup_join, previous_rows, running_totals
 from ledgerloom.session import cut_lineage
+from ledgerloom.sources.csv_records import DELIMITERS, cells_of
 
-DELIMITERS = (",", ";", "\t", "|")
 HEAD_CHARS = 4_096
 SCAN_ROWS = 25
 TOLERANCE_CENTS = 1.1
@@ -39,15 +39,10 @@ def sniff_delimiters(lines: DataFrame, head_chars: int = HEAD_CHARS) -> DataFram
 
 
 def split_cells(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
-    """Cells of every line; delimiters inside double quotes do not split."""
+    """Cells of every record; delimiters and line breaks inside quotes do not split."""
     sized = lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_lines")).join(delimiters, "file_id")
     j = lookup_join(lines, sized, ["file_id"], "n_lines", how="inner")
-    cells = F.lit(None).cast("array<string>")
-    for d in DELIMITERS:
-        pattern = ("\\" + d if d == "|" else d) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
-        cells = F.when(F.col("delimiter") == d, F.split("line", pattern)).otherwise(cells)
-    unquote = lambda c: F.replace(F.regexp_replace(c, r'^\s*"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"'))
-    return j.select("file_id", "line_no", F.transform(cells, unquote).alias("cells"))
+    return j.select("file_id", "line_no", cells_of(F.col("line"), F.col("delimiter")).alias("cells"))
 
 
 def locate_header(rows: DataFrame, scan_rows: int = SCAN_ROWS) -> DataFrame:

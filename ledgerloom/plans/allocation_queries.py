@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import allocation, backtest, ledger
+from ledgerloom.operators import allocation, backtest, delays, forecast, ledger
+from ledgerloom.operators.forecast import Z_95
 from ledgerloom.plans import ledger_queries  # noqa: F401  (defines the decision dates)
-from ledgerloom.plans.base_sql import HORIZON, MIN_HISTORY, OBLIGATION_ROWS, STEP_DAYS, cte, twin
+from ledgerloom.plans.base_sql import AS_OF, GRAIN, HORIZON, MIN_HISTORY, OBLIGATION_ROWS, STEP_DAYS, cte, twin
+from ledgerloom.plans.forecast_queries import CV_HORIZON, N_FOLDS, VALUE
 from ledgerloom.plans.registry import query, shown
 from ledgerloom.plans.views import ledger_table
 from ledgerloom.session import cut_lineage, ensure_checkpoint_dir
@@ -80,60 +82,78 @@ JOIN (SELECT business_id, as_of, obligation_id, flexibility, need, pos, 0 AS bef
 
 _exact("exact", "instances")
 _exact("hind", "perfect")
-# Safe-spend limits of every decision date, written scenario by scenario.
-cte(
-    "limits",
-    f"""
-SELECT business_id, as_of, greatest(0.0, floor(quantile_cont(mc, 0.05) * 10000 + 0.001) / 10000) AS safe_spend, avg(CASE WHEN mc < 0 THEN 1.0::DOUBLE ELSE 0 END) AS base FROM (
- SELECT m.business_id, m.as_of, m.mc FROM (
-  SELECT s.business_id, s.as_of, s.period_no, min(balance) AS mc FROM (
-   SELECT p.business_id, p.as_of, n.period_no, (CAST(round(d.opening_balance * 10000) AS BIGINT) + CAST(sum(p.point_u + coalesce(a.arrival_u, 0)) OVER (
+
+
+def _replay(tag: str, decisions: str, grain: str) -> None:
+    """Panel, scenarios and limits of decision dates, written scenario by scenario, with periods of a grain."""
+    cte(
+        f"as_of_points{tag}",
+        f"""SELECT d.business_id, d.as_of, g.h, l.sales_u - l.outflow_u AS point_u FROM {decisions} d CROSS JOIN (SELECT unnest(generate_series(1, {HORIZON})) AS h) g
+JOIN ledger l ON l.business_id = d.business_id AND l.date = d.as_of - CAST(6 - (g.h - 1) % 7 AS INTEGER)""",
+        decisions, "ledger",
+    )
+    cte(
+        f"as_of_panel{tag}",
+        f"""SELECT d.business_id, d.as_of, p.counterparty_id, date_trunc('{grain}', p.issue_date) AS issue_month, avg(p.delay_days) AS delay_days
+FROM {decisions} d JOIN payments p ON p.business_id = d.business_id AND p.paid AND p.paid_date <= d.as_of GROUP BY 1, 2, 3, 4""",
+        decisions, "payments",
+    )
+    cte(
+        f"as_of_periods{tag}",
+        f"""SELECT business_id, as_of, issue_month, row_number() OVER (PARTITION BY business_id, as_of ORDER BY issue_month) - 1 AS period_no,
+  count(*) OVER (PARTITION BY business_id, as_of) AS n_periods FROM (SELECT DISTINCT business_id, as_of, issue_month FROM as_of_panel{tag})""",
+        f"as_of_panel{tag}",
+    )
+    cte(
+        f"as_of_arrivals{tag}",
+        f"""SELECT d.business_id, d.as_of, q.period_no, CAST(floor(date_diff('day', d.as_of, i.due_date) + c.delay_days) AS BIGINT) + 1 AS h, sum(i.cents * 100) AS arrival_u
+FROM {decisions} d JOIN payments i ON i.business_id = d.business_id AND i.issue_date <= d.as_of AND NOT coalesce(i.paid AND i.paid_date <= d.as_of, FALSE)
+JOIN as_of_panel{tag} c ON c.business_id = d.business_id AND c.as_of = d.as_of AND c.counterparty_id = i.counterparty_id
+JOIN as_of_periods{tag} q ON q.business_id = c.business_id AND q.as_of = c.as_of AND q.issue_month = c.issue_month
+WHERE floor(date_diff('day', d.as_of, i.due_date) + c.delay_days) BETWEEN 0 AND {HORIZON - 1} GROUP BY 1, 2, 3, 4""",
+        decisions, "payments", f"as_of_panel{tag}", f"as_of_periods{tag}",
+    )
+    cte(
+        f"as_of_outcomes{tag}",
+        f"""
+SELECT m.business_id, m.as_of, m.mc, m.days FROM (
+  SELECT business_id, as_of, period_no, min(balance) AS mc, coalesce(min(CASE WHEN balance <= 0 THEN h END), {HORIZON}) AS days FROM (
+   SELECT p.business_id, p.as_of, n.period_no, p.h, (CAST(round(d.opening_balance * 10000) AS BIGINT) + CAST(sum(p.point_u + coalesce(a.arrival_u, 0)) OVER (
      PARTITION BY p.business_id, p.as_of, n.period_no ORDER BY p.h ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 10000.0::DOUBLE AS balance
-   FROM as_of_points p JOIN decisions d ON d.business_id = p.business_id AND d.as_of = p.as_of
-   JOIN (SELECT DISTINCT business_id, as_of, period_no FROM as_of_periods) n ON n.business_id = p.business_id AND n.as_of = p.as_of
-   LEFT JOIN as_of_arrivals a ON a.business_id = p.business_id AND a.as_of = p.as_of AND a.period_no = n.period_no AND a.h = p.h) s GROUP BY 1, 2, 3) m
+   FROM as_of_points{tag} p JOIN {decisions} d ON d.business_id = p.business_id AND d.as_of = p.as_of
+   JOIN (SELECT DISTINCT business_id, as_of, period_no FROM as_of_periods{tag}) n ON n.business_id = p.business_id AND n.as_of = p.as_of
+   LEFT JOIN as_of_arrivals{tag} a ON a.business_id = p.business_id AND a.as_of = p.as_of AND a.period_no = n.period_no AND a.h = p.h) GROUP BY 1, 2, 3) m
  JOIN (SELECT n.business_id, n.as_of, (sc.scenario_id * 31 + n.business_id) % n.n_periods AS period_no
-  FROM (SELECT DISTINCT business_id, as_of, n_periods FROM as_of_periods) n
+  FROM (SELECT DISTINCT business_id, as_of, n_periods FROM as_of_periods{tag}) n
   CROSS JOIN (SELECT unnest(generate_series(0, {REPLAY_SCENARIOS - 1})) AS scenario_id) sc) c
- ON c.business_id = m.business_id AND c.as_of = m.as_of AND c.period_no = m.period_no) GROUP BY 1, 2
+ ON c.business_id = m.business_id AND c.as_of = m.as_of AND c.period_no = m.period_no
 """,
-    "as_of_points",
-    "as_of_arrivals",
-    "as_of_periods",
-    "decisions",
-)
-cte(
-    "as_of_points",
-    f"""SELECT d.business_id, d.as_of, g.h, l.sales_u - l.outflow_u AS point_u FROM decisions d CROSS JOIN (SELECT unnest(generate_series(1, {HORIZON})) AS h) g
-JOIN ledger l ON l.business_id = d.business_id AND l.date = d.as_of - CAST(6 - (g.h - 1) % 7 AS INTEGER)""",
-    "decisions",
-    "ledger",
-)
+        f"as_of_points{tag}", f"as_of_arrivals{tag}", f"as_of_periods{tag}", decisions,
+    )
+    cte(
+        f"limits{tag}",
+        f"""SELECT business_id, as_of, greatest(0.0, floor(quantile_cont(mc, 0.05) * 10000 + 0.001) / 10000) AS safe_spend, avg(CASE WHEN mc < 0 THEN 1.0::DOUBLE ELSE 0 END) AS base
+FROM as_of_outcomes{tag} GROUP BY 1, 2""",
+        f"as_of_outcomes{tag}",
+    )
+    cte(
+        f"as_of_runway{tag}",
+        f"""SELECT business_id, as_of, CAST(floor(any_value(q)) AS BIGINT) AS rar, avg(CASE WHEN days <= q THEN days END) AS crar
+FROM as_of_outcomes{tag} JOIN (SELECT business_id, as_of, quantile_cont(days, 0.05) AS q FROM as_of_outcomes{tag} GROUP BY 1, 2) USING (business_id, as_of) GROUP BY 1, 2""",
+        f"as_of_outcomes{tag}",
+    )
+
+
+_replay("", "decisions", GRAIN)
+cte("now_only", f"SELECT business_id, DATE '{AS_OF}' AS as_of, opening_balance FROM opening", "opening")
+_replay("_weeks", "now_only", "week")
 cte(
-    "as_of_panel",
-    """SELECT d.business_id, d.as_of, p.counterparty_id, date_trunc('month', p.issue_date) AS issue_month, avg(p.delay_days) AS delay_days
+    "as_of_panel_days",
+    """SELECT d.business_id, d.as_of, p.counterparty_id, p.issue_date, avg(p.delay_days) AS delay_days
 FROM decisions d JOIN payments p ON p.business_id = d.business_id AND p.paid AND p.paid_date <= d.as_of GROUP BY 1, 2, 3, 4""",
     "decisions",
     "payments",
 )
-cte(
-    "as_of_periods",
-    """SELECT business_id, as_of, issue_month, row_number() OVER (PARTITION BY business_id, as_of ORDER BY issue_month) - 1 AS period_no,
-  count(*) OVER (PARTITION BY business_id, as_of) AS n_periods FROM (SELECT DISTINCT business_id, as_of, issue_month FROM as_of_panel)""",
-    "as_of_panel",
-)
-cte(
-    "as_of_arrivals",
-    f"""SELECT d.business_id, d.as_of, q.period_no, CAST(floor(date_diff('day', d.as_of, i.due_date) + c.delay_days) AS BIGINT) + 1 AS h, sum(i.cents * 100) AS arrival_u
-FROM decisions d JOIN payments i ON i.business_id = d.business_id AND i.issue_date <= d.as_of AND NOT coalesce(i.paid AND i.paid_date <= d.as_of, FALSE)
-JOIN as_of_panel c ON c.business_id = d.business_id AND c.as_of = d.as_of AND c.counterparty_id = i.counterparty_id
-JOIN as_of_periods q ON q.business_id = c.business_id AND q.as_of = c.as_of AND q.issue_month = c.issue_month
-WHERE floor(date_diff('day', d.as_of, i.due_date) + c.delay_days) BETWEEN 0 AND {HORIZON - 1} GROUP BY 1, 2, 3, 4""",
-    "decisions",
-    "payments",
-    "as_of_panel",
-    "as_of_periods",
-)
 cte("capped", "SELECT i.business_id, i.as_of, least(i.cash, CAST(round(l.safe_spend * 10000) AS BIGINT)) AS cash FROM instances i JOIN limits l ON l.business_id = i.business_id AND l.as_of = i.as_of", "instances", "limits")
 _exact("chance", "capped")
 cte(
@@ -191,12 +211,16 @@ def problem(spark, sf):
     return d, allocation.template_obligations(d), allocation.template_instances(d)
 
 
-def limits(spark, sf, led, d):
+def walks(spark, sf, led, d, grain=GRAIN):
     inv = tables.invoices(spark, sf)
-    return backtest.safe_spend_limits(
+    return cut_lineage(backtest.scenario_walks(
         backtest.naive_points(led, d, "net_ex_receipts", HORIZON), d, cut_lineage(backtest.open_cells(inv, d)),
-        cut_lineage(backtest.panels(inv, d)), REPLAY_SCENARIOS, HORIZON,
-    )
+        cut_lineage(delays.asof_panel(inv, d, grain)), REPLAY_SCENARIOS, HORIZON,
+    ))
+
+
+def limits(spark, sf, led, d, grain=GRAIN):
+    return backtest.safe_spend_limits(walks(spark, sf, led, d, grain))
 
 
 def replay(spark, sf, names):
@@ -244,6 +268,101 @@ def replay_safe_spend(spark, sf):
     return shown(limits(spark, sf, led, d))
 
 
+@query(
+    "asof_panel_issue_dates",
+    twin(
+        """SELECT business_id, CAST(as_of AS VARCHAR) AS as_of, counterparty_id, count(*) AS n_periods, round(avg(delay_days), 6) AS mean_delay, min(delay_days) AS shortest, max(delay_days) AS longest,
+  CAST(max(issue_date) AS VARCHAR) AS last_issue_date FROM as_of_panel_days GROUP BY 1, 2, 3""",
+        "as_of_panel_days",
+    ),
+)
+def asof_panel_issue_dates(spark, sf):
+    """The as-of panel by issue date, summed up for each decision date and payer."""
+    panel = delays.asof_panel(tables.invoices(spark, sf), decisions(spark, sf))
+    d = F.col("delay_days")
+    return shown(panel.groupBy("business_id", "as_of", "counterparty_id").agg(
+        F.count(F.lit(1)).alias("n_periods"), F.avg(d).alias("mean_delay"), F.min(d).alias("shortest"), F.max(d).alias("longest"), F.max("issue_period").alias("last_issue_date"),
+    ))
+
+
+@query(
+    "runway_at_risk_weeks",
+    twin(
+        """SELECT business_id, CAST(as_of AS VARCHAR) AS as_of, rar AS runway_at_risk_days, round(crar, 6) AS conditional_runway_at_risk_days, safe_spend, round(base, 6) AS baseline_shortfall
+FROM as_of_runway_weeks JOIN limits_weeks USING (business_id, as_of)""",
+        "as_of_runway_weeks",
+        "limits_weeks",
+    ),
+)
+def runway_at_risk_weeks(spark, sf):
+    """Runway and safe spend at one date from scenarios that sample past issue weeks."""
+    led = cut_lineage(ledger_table(spark, sf))
+    d = cut_lineage(ledger.opening_balance(led, AS_OF).select("business_id", F.lit(AS_OF).cast("date").alias("as_of"), "opening_balance"))
+    w = walks(spark, sf, led, d, "week")
+    return shown(backtest.replay_runway(w, HORIZON).join(backtest.safe_spend_limits(w), backtest.VIEW))
+
+
+CALIBRATED = """SELECT d.business_id, d.as_of, d.history_rows + 1 AS n, greatest((d.history_rows + 1) // 2, 28) AS mt FROM decisions d"""
+cte("led_numbered", "SELECT business_id, y, row_number() OVER (PARTITION BY business_id ORDER BY date) - 1 AS idx FROM ledger", "ledger")
+cte(
+    "as_of_resid",
+    f"""
+SELECT f.business_id, f.as_of, f.fold, f.h, a.y - p.y AS residual FROM (
+  SELECT business_id, as_of, fold, h, train_end + h - 1 AS target, train_end - 7 + (h - 1) % 7 AS source FROM (
+    SELECT business_id, as_of, fold, n - (k - 1 - fold) * {CV_HORIZON} - {CV_HORIZON} AS train_end, mt FROM (
+      SELECT business_id, as_of, n, mt, k, unnest(generate_series(0, k - 1)) AS fold FROM (
+        SELECT *, greatest(1, least({N_FOLDS}, (n - mt) // {CV_HORIZON})) AS k FROM ({CALIBRATED}) WHERE n - mt >= {CV_HORIZON})))
+  CROSS JOIN (SELECT unnest(generate_series(1, {CV_HORIZON})) AS h) WHERE train_end >= mt) f
+LEFT JOIN led_numbered a ON a.business_id = f.business_id AND a.idx = f.target
+LEFT JOIN led_numbered p ON p.business_id = f.business_id AND p.idx = f.source
+""",
+    "decisions",
+    "led_numbered",
+)
+cte(
+    "as_of_qhat",
+    """
+SELECT business_id, as_of, list_extract(sc, least(rank, n)) AS q_hat FROM (
+  SELECT business_id, as_of, count(*) AS n, CAST(ceil((count(*) + 1) * 0.95) AS BIGINT) AS rank, list(score ORDER BY score) AS sc FROM (
+    SELECT r.business_id, r.as_of, abs(r.residual) / (p.a * pow(r.h, p.gamma)) AS score FROM as_of_resid r JOIN (
+      SELECT business_id, as_of, exp(regr_intercept(ln(rms), ln(h))) AS a, greatest(0.0, least(1.0, regr_slope(ln(rms), ln(h)))) AS gamma
+      FROM (SELECT business_id, as_of, h, greatest(sqrt(avg(residual * residual)), 1e-9) AS rms FROM as_of_resid GROUP BY 1, 2, 3) GROUP BY 1, 2) p USING (business_id, as_of)) GROUP BY 1, 2)
+""",
+    "as_of_resid",
+)
+
+
+def calibration(led, d):
+    """Conformal multiplier of every decision date, from the folds before it."""
+    keys = ["business_id", "as_of", "model"]
+    resid = cut_lineage(forecast.naive_residuals(led, forecast.asof_folds(d, CV_HORIZON, N_FOLDS), VALUE, CV_HORIZON, ["business_id", "as_of"]))
+    return forecast.conformal_multiplier(forecast.profile_scored(resid, forecast.scale_profile(resid, keys=keys), keys), keys=keys)
+
+
+@query(
+    "usage_rollup",
+    twin(
+        f"""SELECT CASE WHEN grouping(forecast_model) = 0 THEN 'model' WHEN grouping(strategy) = 0 THEN 'strategy' ELSE 'all' END AS group_kind, forecast_model, strategy, count(*) AS n_steps,
+  round(avg(q_hat), 6) AS mean_q_hat, round(avg(q_hat) / {Z_95}, 6) AS scale_ratio, round(min(q_hat), 6) AS min_q_hat, round(max(q_hat), 6) AS max_q_hat,
+  min(rar) AS min_runway_at_risk, quantile_cont(rar, 0.5) AS median_runway_at_risk, max(rar) AS max_runway_at_risk,
+  round(min(crar), 6) AS min_conditional_runway, round(quantile_cont(crar, 0.5), 6) AS median_conditional_runway, round(max(crar), 6) AS max_conditional_runway
+FROM (SELECT s.*, 'seasonal_naive' AS forecast_model, r.rar, r.crar, q.q_hat FROM steps s JOIN as_of_runway r USING (business_id, as_of) JOIN as_of_qhat q USING (business_id, as_of))
+GROUP BY GROUPING SETS ((forecast_model), (strategy), ())""",
+        "steps",
+        "as_of_runway",
+        "as_of_qhat",
+    ),
+)
+def usage_rollup(spark, sf):
+    led = cut_lineage(ledger_table(spark, sf))
+    d = cut_lineage(ledger.decision_points(led, STEP_DAYS, HORIZON, MIN_HISTORY, OBLIGATION_ROWS))
+    w = walks(spark, sf, led, d)
+    obligations = cut_lineage(allocation.template_obligations(d))
+    plans = backtest.run_strategies(CHECKED, obligations, allocation.template_instances(d), cut_lineage(backtest.safe_spend_limits(w)))
+    steps = backtest.step_regret(cut_lineage(plans), obligations, d)
+    return shown(backtest.usage_summary(backtest.step_table(steps, backtest.replay_runway(w, HORIZON), calibration(led, d))))
+
+
 @query("chance_constrained", twin(ALLOC.format("chance_constrained"), "plans"))
 def chance_constrained(spark, sf):
     _, _, plans = replay(spark, sf, ["chance_constrained"])
@@ -326,8 +445,8 @@ cte(
     "plan_rows",
     f"""SELECT *, {LABEL} AS label, CASE WHEN allocated >= amount - 0.01 THEN 'pay_now' WHEN allocated > 0.01 THEN 'pay_partial' ELSE 'defer' END AS action_type,
   CASE WHEN amount - allocated > 0.01 THEN amount - allocated ELSE 0.0 END AS shortfall,
-  CASE WHEN days_until_due <= 0 THEN 'due today' WHEN days_until_due = 1 THEN 'due tomorrow' WHEN days_until_due <= 7 THEN 'due in ' || days_until_due || ' days'
-    ELSE 'due in about ' || (days_until_due // 7) || ' week' || CASE WHEN days_until_due // 7 > 1 THEN 's' ELSE '' END END AS due,
+  CASE WHEN days_until_due <= 0 THEN 'no days left' WHEN days_until_due = 1 THEN '1 day left' WHEN days_until_due <= 7 THEN days_until_due || ' days left'
+    ELSE 'over ' || (days_until_due // 7) || CASE WHEN days_until_due // 7 > 1 THEN ' weeks left' ELSE ' week left' END END AS due,
   penalty_rate * CASE WHEN amount - allocated > 0.01 THEN amount - allocated ELSE amount END AS fee
 FROM (SELECT *, regexp_replace(obligation_id, '-[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$', '') AS category FROM plans WHERE strategy = 'exact')""",
     "plans",
@@ -340,10 +459,8 @@ _N = "format('{{:,}}', CAST(floor({} + 0.5) AS BIGINT))"
     twin(
         f"""SELECT business_id, CAST(as_of AS VARCHAR) AS as_of, obligation_id, label, category, action_type, amount AS amount_due, allocated AS allocated_amount, round(shortfall, 2) AS shortfall,
   days_until_due, flexibility = 'rigid' AS is_rigid, round(fee, 6) AS late_fee_if_unpaid,
-  CASE action_type WHEN 'pay_now' THEN 'Pay ' || label || ' in full (' || due || '). ' || CASE WHEN flexibility = 'rigid' THEN 'It cannot be split. ' ELSE '' END
-     || 'Missing it would add about ' || {_N.format('fee')} || ' in late fees.'
-   WHEN 'pay_partial' THEN 'Pay ' || {_N.format('allocated')} || ' towards ' || label || ' now and leave ' || {_N.format('amount - allocated')} || ' for later (' || due || ').'
-   ELSE 'Hold off on ' || label || ' for now (' || due || '). Its late fee of about ' || {_N.format('fee')} || ' is smaller than those paid first.' END AS justification,
+  label || ', ' || due || ': ' || CASE action_type WHEN 'pay_now' THEN 'settle all' || CASE WHEN flexibility = 'rigid' THEN ' (no part payment)' ELSE '' END || '; fee avoided ' || {_N.format('fee')}
+   WHEN 'pay_partial' THEN 'settle ' || {_N.format('allocated')} || ', carry over ' || {_N.format('amount - allocated')} ELSE 'wait; fee ' || {_N.format('fee')} || ', others cost more' END AS justification,
   row_number() OVER (PARTITION BY business_id, as_of ORDER BY days_until_due, obligation_id) AS place FROM plan_rows""",
         "plan_rows",
     ),

@@ -8,6 +8,8 @@ SCENARIOS = 100
 STEP_DAYS = 30
 MIN_HISTORY = 400
 OBLIGATION_ROWS = 30
+#: Period that queries sample delays by, unless their name says another.
+GRAIN = "month"
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 

@@ -76,6 +76,44 @@ def credit_features(spark, sf):
     return shown(features(spark, sf))
 
 
+cte("settle_order", "SELECT *, row_number() OVER (PARTITION BY business_id, counterparty_id ORDER BY paid_date, invoice_id) - 1 AS seq FROM payments WHERE paid", "payments")
+cte(
+    "strict_known",
+    """
+SELECT a.invoice_id, count(*) AS k, avg(b.delay_days) AS mean_d, stddev_samp(b.delay_days) AS std_d, max(b.delay_days) AS max_d,
+  CASE WHEN count(*) > 1 THEN covar_pop(b.delay_days, b.seq) / var_pop(b.seq) END AS trend
+FROM payments a JOIN settle_order b ON a.business_id = b.business_id AND a.counterparty_id = b.counterparty_id AND b.paid_date < a.issue_date GROUP BY 1
+""",
+    "payments",
+    "settle_order",
+)
+cte(
+    "strict_due",
+    """
+SELECT a.invoice_id, avg(CASE WHEN b.paid AND b.paid_date < a.issue_date THEN 0.0::DOUBLE ELSE 1.0 END) AS rate
+FROM payments a JOIN payments b ON a.business_id = b.business_id AND a.counterparty_id = b.counterparty_id AND b.due_date < a.issue_date GROUP BY 1
+""",
+    "payments",
+)
+
+
+@query(
+    "credit_features_strict",
+    twin(
+        """SELECT f.business_id, f.counterparty_id, f.invoice_id, f.n_prior_invoices, round(coalesce(d.rate, 0.0), 6) AS prior_default_rate, round(coalesce(k.mean_d, 0.0), 6) AS mean_prior_delay,
+  round(coalesce(k.std_d, 0.0), 6) AS std_prior_delay, coalesce(CAST(k.max_d AS DOUBLE), 0.0) AS max_prior_delay, round(coalesce(k.trend, 0.0), 6) + 0.0 AS delay_trend,
+  f.days_since_last_invoice, round(f.log_amount, 6) AS log_amount, round(f.amount_vs_counterparty_mean, 6) AS amount_vs_counterparty_mean, f.payment_terms_days, f.label
+FROM features f LEFT JOIN strict_known k ON k.invoice_id = f.invoice_id LEFT JOIN strict_due d ON d.invoice_id = f.invoice_id""",
+        "features",
+        "strict_known",
+        "strict_due",
+    ),
+)
+def credit_features_strict(spark, sf):
+    """Features from outcomes that were known when the invoice was issued."""
+    return shown(credit.strict_features(tables.invoices(spark, sf)))
+
+
 @query("rule_score", twin("SELECT business_id, counterparty_id, invoice_id, round(score, 6) AS score FROM scored", "scored"))
 def rule_score(spark, sf):
     return shown(credit.rule_score(features(spark, sf)).select("business_id", "counterparty_id", "invoice_id", "score"))
@@ -250,10 +288,10 @@ def score_rationale(spark, sf):
 @query(
     "rule_rationale",
     twin(
-        """SELECT invoice_id, 'Estimated default probability ' || printf('%.1f', score * 100) || '%. Main drivers: ' ||
+        """SELECT invoice_id, 'default chance ' || printf('%.1f', score * 100) || ' % from ' ||
   CASE WHEN abs(mean_prior_delay) >= abs(log_amount) THEN
-   'mean prior delay (' || printf('%.2f', mean_prior_delay) || ') raises the estimate; log amount (' || printf('%.2f', log_amount) || ') raises the estimate.'
-  ELSE 'log amount (' || printf('%.2f', log_amount) || ') raises the estimate; mean prior delay (' || printf('%.2f', mean_prior_delay) || ') raises the estimate.' END AS rationale
+   '+mean_prior_delay=' || printf('%.2f', mean_prior_delay) || ', +log_amount=' || printf('%.2f', log_amount)
+  ELSE '+log_amount=' || printf('%.2f', log_amount) || ', +mean_prior_delay=' || printf('%.2f', mean_prior_delay) END AS rationale
 FROM (SELECT invoice_id, round(score, 4) + 0.00001 AS score, round(mean_prior_delay, 4) + 0.00001 AS mean_prior_delay, round(log_amount, 4) + 0.00001 AS log_amount FROM scored)""",
         "scored",
     ),

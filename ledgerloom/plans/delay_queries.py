@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ledgerloom.operators import delays
 from ledgerloom.operators.ledger import settled
-from ledgerloom.plans.base_sql import AS_OF, cte, twin
+from ledgerloom.plans.base_sql import AS_OF, CTES, GRAIN, cte, twin
 from ledgerloom.plans.registry import query, shown
 from ledgerloom.sources import tables
 
@@ -30,6 +30,15 @@ GROUP BY 1, 2, 3
 )
 
 
+cte("panel_days", "SELECT business_id, issue_date AS issue_period, counterparty_id, avg(delay_days) AS delay_days FROM payments WHERE paid GROUP BY 1, 2, 3", "payments")
+cte(
+    "panel_weeks",
+    "SELECT business_id, CAST(date_trunc('week', issue_date) AS DATE) AS issue_month, counterparty_id, avg(delay_days) AS delay_days FROM payments WHERE paid GROUP BY 1, 2, 3",
+    "payments",
+)
+CTES["pairs_weeks"] = (("panel_weeks",), CTES["pairs"][1].replace("panel a JOIN panel b", "panel_weeks a JOIN panel_weeks b"))
+
+
 @query(
     "delay_panel",
     twin(
@@ -38,20 +47,36 @@ GROUP BY 1, 2, 3
     ),
 )
 def delay_panel(spark, sf):
+    return shown(delays.delay_panel(tables.invoices(spark, sf), GRAIN).withColumnRenamed("issue_period", "issue_month"))
+
+
+@query(
+    "delay_panel_issue_dates",
+    twin("SELECT business_id, CAST(issue_period AS VARCHAR) AS issue_period, counterparty_id, round(delay_days, 6) AS delay_days FROM panel_days", "panel_days"),
+)
+def delay_panel_issue_dates(spark, sf):
     return shown(delays.delay_panel(tables.invoices(spark, sf)))
 
 
+@query(
+    "delay_spearman_weeks",
+    twin("SELECT business_id, cp_i, cp_j, n_shared, round(rho, 6) + 0.0 AS rho FROM pairs_weeks", "pairs_weeks"),
+)
+def delay_spearman_weeks(spark, sf):
+    return shown(delays.spearman_pairs(delays.delay_panel(tables.invoices(spark, sf), "week")))
+
+
 @query(
     "delay_spearman",
     twin("SELECT business_id, cp_i, cp_j, n_shared, round(rho, 6) + 0.0 AS rho FROM pairs", "pairs"),
 )
 def delay_spearman(spark, sf):
-    return shown(delays.spearman_pairs(delays.delay_panel(tables.invoices(spark, sf))))
+    return shown(delays.spearman_pairs(delays.delay_panel(tables.invoices(spark, sf), GRAIN)))
 
 
 @query("delay_correlation_matrix")
 def delay_correlation_matrix(spark, sf):
-    pairs = delays.spearman_pairs(delays.delay_panel(tables.invoices(spark, sf)))
+    pairs = delays.spearman_pairs(delays.delay_panel(tables.invoices(spark, sf), GRAIN))
     return shown(delays.nearest_positive_definite(pairs))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import special
-from ledgerloom.operators import forecast
-from ledgerloom.plans.base_sql import AS_OF, HORIZON, cte, twin
+from ledgerloom.operators import champion, forecast
+from ledgerloom.plans.base_sql import AS_OF, CTES, HORIZON, cte, twin
 from ledgerloom.plans.registry import query, shown
 from ledgerloom.session import cut_lineage
 from ledgerloom.plans.views import history_table, ledger_table, naive_path
@@ -165,6 +167,54 @@ def conformal_forecast(spark, sf):
     return shown(conformal_path(spark, sf), digits=4)
 
 
+# Histories of different lengths: a business keeps its last 16 * (number + 1) days, so that some are too short.
+cte("uneven", f"SELECT * FROM hist WHERE date > DATE '{AS_OF}' - CAST(16 * (business_id + 1) AS INTEGER)", "hist")
+
+
+def uneven_history(spark, sf):
+    return history_table(spark, sf).filter(F.col("date") > F.date_sub(F.lit(AS_OF).cast("date"), (16 * (F.col("business_id") + 1)).cast("int")))
+
+
+def _of_uneven(name: str) -> str:
+    """A forecast expression over the uneven histories."""
+    body = CTES[name][1]
+    for old in ("numbered", "folds", "fold_scale", "resid", "profile", "scores", "qhat", "hist"):
+        body = re.sub(rf"\b(FROM|JOIN) {old}\b", rf"\1 {'uneven' if old == 'hist' else old + '_u'}", body)
+    return body
+
+
+for _name in ("numbered", "folds", "fold_scale", "resid", "profile", "scores", "qhat", "naive_path"):
+    cte(f"{_name}_u", _of_uneven(_name), *("uneven" if x == "hist" else f"{x}_u" for x in CTES[_name][0]))
+
+
+@query(
+    "champion_naive",
+    twin(
+        f"""SELECT n.business_id, 'seasonal_naive' AS model, round(r.rmse, 2) AS mean_rmse, n.h, CAST(DATE '{AS_OF}' + CAST(n.h AS INTEGER) AS VARCHAR) AS target_date, round(point, 2) AS point,
+  round(point - q.q_hat * p.a * pow(n.h, p.gamma), 2) AS lower, round(point + q.q_hat * p.a * pow(n.h, p.gamma), 2) AS upper, CAST(NULL AS VARCHAR) AS reason
+FROM naive_path_u n JOIN profile_u p ON p.business_id = n.business_id JOIN qhat_u q ON q.business_id = n.business_id
+JOIN (SELECT business_id, avg(rmse) AS rmse FROM (SELECT business_id, fold, sqrt(avg(residual * residual)) AS rmse FROM resid_u GROUP BY 1, 2) GROUP BY 1) r ON r.business_id = n.business_id
+UNION ALL
+SELECT business_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'series too short: need > ' || (greatest(count(*) // 2, 28) + {CV_HORIZON}) || ' points, got ' || count(*)
+FROM uneven GROUP BY 1 HAVING count(*) < greatest(count(*) // 2, 28) + {CV_HORIZON}""",
+        "naive_path_u",
+        "profile_u",
+        "qhat_u",
+        "resid_u",
+        "uneven",
+    ),
+)
+def champion_naive(spark, sf):
+    """Point, interval and model of every series, or why there is none; the naive model alone."""
+    return shown(champion.champion_forecast(uneven_history(spark, sf), VALUE, HORIZON, CV_HORIZON, N_FOLDS, ["seasonal_naive"]), digits=2)
+
+
+@query("champion_forecast")
+def champion_forecast(spark, sf):
+    """The same with every model as a candidate."""
+    return shown(champion.champion_forecast(uneven_history(spark, sf), VALUE, HORIZON, CV_HORIZON, N_FOLDS), digits=4)
+
+
 @query(
     "interval_sigma",
     twin(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.special import first_passage_udf
 from ledgerloom.operators import credit, delays, ledger, scenarios
-from ledgerloom.plans.base_sql import AS_OF, HORIZON, SCENARIOS, cte, twin
+from ledgerloom.plans.base_sql import AS_OF, GRAIN, HORIZON, SCENARIOS, cte, twin
 from ledgerloom.plans.registry import query, shown
 from ledgerloom.plans.views import history_table, ledger_table, naive_path
 from ledgerloom.session import cut_lineage
@@ -24,14 +24,20 @@ cte(
     """SELECT business_id, CAST(date_trunc('month', issue_date) AS DATE) AS issue_month, counterparty_id, avg(delay_days) AS delay_days FROM settled GROUP BY 1, 2, 3""",
     "settled",
 )
-_SPLIT = "(s.scenario_id * 31 + n.business_id{extra}) % n.n_periods"
+# Whole rounds of a business's periods, so that each is drawn equally often: at least as many scenarios as asked for.
+cte(
+    "draws",
+    f"""SELECT business_id, n_periods, unnest(generate_series(0, CAST(({SCENARIOS} + n_periods - 1) // n_periods * n_periods - 1 AS BIGINT))) AS scenario_id
+FROM (SELECT DISTINCT business_id, n_periods FROM periods)""",
+    "periods",
+)
+_SPLIT = "(s.scenario_id * 31 + s.business_id{extra}) % s.n_periods"
 
 
 def _paths(extra: str, name: str) -> None:
     sample = (
         f"""SELECT o.business_id, s.scenario_id, CAST(floor(o.days_until_due + c.delay_days) AS BIGINT) + 1 AS h, sum(o.cents * 100) AS arrival_u
-FROM open_items o JOIN (SELECT DISTINCT business_id, n_periods FROM periods) n ON n.business_id = o.business_id
-CROSS JOIN (SELECT unnest(generate_series(0, {SCENARIOS - 1})) AS scenario_id) s
+FROM open_items o JOIN draws s ON s.business_id = o.business_id
 JOIN periods p ON p.business_id = o.business_id AND p.period_no = {_SPLIT.format(extra=extra)}
 JOIN cells_by_month c ON c.business_id = o.business_id AND c.counterparty_id = o.counterparty_id AND c.issue_month = p.issue_month
 WHERE floor(o.days_until_due + c.delay_days) BETWEEN 0 AND {HORIZON - 1} GROUP BY 1, 2, 3"""
@@ -42,14 +48,14 @@ WHERE floor(o.days_until_due + c.delay_days) BETWEEN 0 AND {HORIZON - 1} GROUP B
 SELECT n.business_id, s.scenario_id, n.h AS day, (CAST(round(op.opening_balance * 10000) AS BIGINT) + CAST(sum(CAST(round(n.point * 10000) AS BIGINT) + coalesce(a.arrival_u, 0))
    OVER (PARTITION BY n.business_id, s.scenario_id ORDER BY n.h ROWS UNBOUNDED PRECEDING) AS BIGINT)) / 10000.0::DOUBLE AS balance
 FROM naive_path n JOIN opening op ON op.business_id = n.business_id
-CROSS JOIN (SELECT unnest(generate_series(0, {SCENARIOS - 1})) AS scenario_id) s
+JOIN draws s ON s.business_id = n.business_id
 LEFT JOIN ({sample}) a ON a.business_id = n.business_id AND a.scenario_id = s.scenario_id AND a.h = n.h
-WHERE n.business_id IN (SELECT business_id FROM periods)
 """,
         "naive_path",
         "opening",
         "open_items",
         "periods",
+        "draws",
         "cells_by_month",
     )
 
@@ -77,7 +83,7 @@ def parts(spark, sf):
     hist = cut_lineage(history_table(spark, sf))
     inv = tables.invoices(spark, sf)
     cells = cut_lineage(scenarios.receivable_cells(ledger.outstanding(inv, AS_OF)))
-    panel = cut_lineage(delays.delay_panel(ledger.settled(inv, AS_OF)))
+    panel = cut_lineage(delays.delay_panel(ledger.settled(inv, AS_OF), GRAIN))
     return hist, inv, cells, panel
 
 
@@ -87,7 +93,7 @@ def hist_paths(spark, sf):
     arrivals = scenarios.period_arrivals(cells, panel, periods, HORIZON)
     return scenarios.historical_paths(
         scenarios.point_spine(naive_path(hist)), ledger.opening_balance(hist, AS_OF), periods, arrivals,
-        scenarios.historical_scenarios(spark, periods, SCENARIOS),
+        scenarios.historical_scenarios(periods, SCENARIOS),
     )
 
 
@@ -210,13 +216,12 @@ def stress_independence(spark, sf):
     hist, _, cells, panel = parts(spark, sf)
     periods = scenarios.numbered_periods(panel)
     spine, opening = scenarios.point_spine(naive_path(hist)), ledger.opening_balance(hist, AS_OF)
-    scen = scenarios.historical_scenarios(spark, periods, SCENARIOS)
+    scen = scenarios.historical_scenarios(periods, SCENARIOS)
     dependent = scenarios.historical_paths(spine, opening, periods, scenarios.period_arrivals(cells, panel, periods, HORIZON), scen)
     own = F.pmod(F.col("scenario_id") * 31 + F.col("business_id") + 17 * F.col("counterparty_id"), F.col("n_periods"))
-    sizes = periods.select("business_id", "n_periods").distinct()
-    ids = spark.range(SCENARIOS).withColumnRenamed("id", "scenario_id")
-    months = panel.join(periods, ["business_id", "issue_month"]).select("business_id", "counterparty_id", "period_no", "delay_days")
-    payers = panel.select("business_id", "counterparty_id").distinct().join(sizes, "business_id").crossJoin(F.broadcast(ids))
+    sizes = scenarios.scenario_numbers(periods, SCENARIOS)
+    months = panel.join(periods, ["business_id", "issue_period"]).select("business_id", "counterparty_id", "period_no", "delay_days")
+    payers = panel.select("business_id", "counterparty_id").distinct().join(sizes, "business_id")
     drawn = payers.withColumn("period_no", own).join(months, ["business_id", "counterparty_id", "period_no"])
     day = F.floor(F.col("days_until_due") + F.col("delay_days"))
     arrivals = (
@@ -384,6 +389,6 @@ def first_passage(spark, sf):
     """Plug-in and predictive probability of reaching zero within the horizon."""
     p = first_passage_udf(float(HORIZON))
     inputs = cut_lineage(scenarios.first_passage_inputs(history_table(spark, sf)))
-    draws = scenarios.predictive_draws(inputs, 200, 7).withColumn("p", p("opening", "mu", "sigma"))
+    draws = scenarios.predictive_draws(inputs, 2_000, 7).withColumn("p", p("opening", "mu", "sigma"))
     predictive = draws.groupBy("business_id").agg(F.avg("p").alias("predictive"))
     return shown(inputs.withColumn("plug_in", p("opening", "mu", "sigma")).join(predictive, "business_id", "left"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
@@ -9,7 +11,7 @@ from ledgerloom.functions.spread import widen
 from ledgerloom.operators import statements
 from ledgerloom.plans.base_sql import cte, twin
 from ledgerloom.plans.registry import query, shown
-from ledgerloom.session import cut_lineage
+from ledgerloom.session import cut_lineage, ensure_checkpoint_dir
 from ledgerloom.sources import statement_files, tables
 
 N4 = "', '".join(statement_files.NARRATIVES)
@@ -102,6 +104,31 @@ def delimiter_sniff(spark, sf):
     return statements.sniff_delimiters(lines(spark, sf))
 
 
+# Descriptions as they are meant, and their cells, of the files that quoted_lines prints.
+_D = "CASE file_id % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END"
+_NOTE = f"""CASE event_id % 6 WHEN 0 THEN description WHEN 1 THEN description || {_D} || ' paid' WHEN 2 THEN description || chr(10) || 'REF' WHEN 3 THEN 'say "' || description || '" twice'
+  WHEN 4 THEN description || ' 5" pipe' ELSE chr(13) || chr(10) || description || chr(10) || chr(10) || 'end' END"""
+
+
+@query(
+    "quoted_statement_files",
+    twin(
+        f"""SELECT file_id, row_idx + 1 AS line_no, 3::BIGINT AS n_cells, strftime(posted_date, '%Y-%m-%d') AS first_cell, {_NOTE} AS second_cell, {_money('(credit - debit)')} AS third_cell FROM stmt
+UNION ALL SELECT DISTINCT file_id, 0, 3::BIGINT, 'Date', 'Description', 'Amount' FROM stmt""",
+        "stmt",
+    ),
+)
+def quoted_statement_files(spark, sf):
+    """Files with line breaks inside quotes, written from the event log and read back by byte ranges."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/statements-{uuid.uuid4().hex}"
+    statement_files.write_files(statement_files.quoted_lines(statement_files.event_rows(spark, sf)), path)
+    li, _ = statement_files.read_statement_folder(spark, path)
+    li = cut_lineage(li.withColumn("file_id", F.regexp_extract("file_id", r"file_id=(\d+)/", 1).cast("long")))
+    cells = statements.split_cells(li, statements.sniff_delimiters(li))
+    return cells.select("file_id", "line_no", F.size("cells").cast("long").alias("n_cells"), *[F.get("cells", F.lit(k)).alias(f"{n}_cell") for k, n in enumerate(("first", "second", "third"))])
+
+
 @query(
     "header_location",
     twin("SELECT DISTINCT file_id, CASE WHEN file_id % 5 = 4 THEN 3::BIGINT ELSE 0 END AS header_line FROM stmt", "stmt"),
@@ -151,8 +178,8 @@ def column_typing(spark, sf):
     return shown(statements.column_types(statements.long_cells(parsed(spark, sf)[3])))
 
 
-_FMT = [("Y-m-d", "%Y-%m-%d"), ("Y/m/d", "%Y/%m/%d"), ("d-b-Y", "%d-%b-%Y"), ("d b Y", "%d %b %Y"), ("d-B-Y", "%d-%B-%Y"), ("d/m/Y", "%d/%m/%Y"), ("m/d/Y", "%m/%d/%Y"),
-        ("d-m-Y", "%d-%m-%Y"), ("m-d-Y", "%m-%d-%Y"), ("d/m/y", "%d/%m/%y"), ("m/d/y", "%m/%d/%y")]
+_FMT = [("year-month-day", "%Y-%m-%d"), ("year/month/day", "%Y/%m/%d"), ("day-mon-year", "%d-%b-%Y"), ("day mon year", "%d %b %Y"), ("day-monthname-year", "%d-%B-%Y"), ("day/month/year", "%d/%m/%Y"), ("month/day/year", "%m/%d/%Y"),
+        ("day-month-year", "%d-%m-%Y"), ("month-day-year", "%m-%d-%Y"), ("day/month/yy", "%d/%m/%y"), ("month/day/yy", "%m/%d/%y")]
 cte(
     "formats",
     """SELECT file_id, col_idx, no, fmt, bool_and(coalesce(d >= p, TRUE)) AS ordered FROM (
@@ -164,8 +191,8 @@ cte(
 cte(
     "dates",
     """SELECT file_id, col_idx, fmt AS date_format, ordered AS is_ordered, (SELECT min(o.fmt) FROM formats o WHERE o.file_id = x.file_id AND o.col_idx = x.col_idx AND o.ordered = x.ordered AND
-    ((x.fmt = 'd/m/Y' AND o.fmt = 'm/d/Y') OR (x.fmt = 'm/d/Y' AND o.fmt = 'd/m/Y') OR (x.fmt = 'd-m-Y' AND o.fmt = 'm-d-Y') OR (x.fmt = 'm-d-Y' AND o.fmt = 'd-m-Y')
-     OR (x.fmt = 'd/m/y' AND o.fmt = 'm/d/y') OR (x.fmt = 'm/d/y' AND o.fmt = 'd/m/y'))) AS ambiguous_with
+    ((x.fmt = 'day/month/year' AND o.fmt = 'month/day/year') OR (x.fmt = 'month/day/year' AND o.fmt = 'day/month/year') OR (x.fmt = 'day-month-year' AND o.fmt = 'month-day-year') OR (x.fmt = 'month-day-year' AND o.fmt = 'day-month-year')
+     OR (x.fmt = 'day/month/yy' AND o.fmt = 'month/day/yy') OR (x.fmt = 'month/day/yy' AND o.fmt = 'day/month/yy'))) AS ambiguous_with
 FROM (SELECT *, row_number() OVER (PARTITION BY file_id, col_idx ORDER BY NOT ordered, no) AS rn FROM formats) x WHERE rn = 1""",
     "formats",
 )

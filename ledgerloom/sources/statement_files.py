@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.spread import running_totals
+from ledgerloom.session import cut_lineage
+from ledgerloom.sources import csv_records
+from ledgerloom.sources.csv_records import BOM
 from ledgerloom.sources.tables import table
 
 OPENING_CENTS = 1_000_000
-BOM = "\ufeff"
 
 # Header line and cell separator of each layout (fixed values).
 LAYOUTS = (
@@ -30,24 +32,49 @@ def decode_bytes(content: Column) -> tuple[Column, Column]:
     return F.regexp_replace(raw, f"^{BOM}", ""), F.when(utf8, "utf-8").otherwise("latin-1")
 
 
-def read_statement_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Lines of every file in a folder, and the files refused because they are empty.
+def read_statement_folder(spark: SparkSession, path: str, record_chars: int = csv_records.RECORD_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Records (file_id, line_no, line, encoding) of every file in a folder, and the files refused with the reason.
 
-    Each export is one small file, read as a whole because its encoding can only be
-    judged as a whole.
+    Files are split by byte ranges, so one may be of any size; a record may hold line breaks inside quotes.
+    Blank lines have a number and no row.  Empty files and files with a quoted record of more than
+    ``record_chars`` characters are refused.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    text, encoding = decode_bytes(F.col("content"))
-    good = files.filter(F.col("length") > 0).select(F.col("path").alias("file_id"), text.alias("text"), encoding.alias("encoding"))
-    lines = good.select("file_id", "encoding", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line_no", "line"))
+    from ledgerloom.operators.statements import HEAD_CHARS, sniff_delimiters
+
+    lines = cut_lineage(csv_records.physical_lines(spark, path))
+    # A head line has at least its line end, so more lines than characters are never needed.
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("seq"))
+    head = lines.filter("block = 0").withColumn("nth", nth).filter(F.col("nth") <= HEAD_CHARS).select("file_id", (F.col("nth") - 1).alias("line_no"), "line")
+    found, long = csv_records.records(lines, sniff_delimiters(head), record_chars)
+    long = cut_lineage(long)
     # The scan skips zero-byte files, so they are found as listed paths that were not read.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "file_id string")
     short = lambda c: F.regexp_replace(c, "^([a-z0-9]+:)/+", "$1/")
-    read = good.select(short("file_id").alias("_p"))
-    empty = (
-        listed.withColumn("_p", short("file_id")).join(read, "_p", "left_anti").select("file_id", F.lit("empty upload").alias("reject_reason"))
+    read = lines.select(short("file_id").alias("_p")).distinct()
+    empty = listed.withColumn("_p", short("file_id")).join(read, "_p", "left_anti").select("file_id", F.lit("empty upload").alias("reject_reason"))
+    kept = found.join(long.select("file_id"), "file_id", "left_anti")
+    return kept.filter((F.col("line") != "") | (F.col("line_no") == 0)), empty.unionByName(long)
+
+
+def quoted_lines(rows: DataFrame) -> DataFrame:
+    """Rows printed as date, description and amount, the delimiter by file; descriptions hold delimiters, line
+    breaks and doubled quotes inside quotes, or a quote as an ordinary character."""
+    d = F.get(F.array(*[F.lit(x) for x in csv_records.DELIMITERS]), (F.col("file_id") % 4).cast("int"))
+    t, k = F.col("description"), F.col("event_id") % 6
+    note = (
+        F.when(k == 0, t).when(k == 1, F.concat(F.lit('"'), t, d, F.lit(' paid"'))).when(k == 2, F.concat(F.lit('"'), t, F.lit('\nREF"')))
+        .when(k == 3, F.concat(F.lit('"say ""'), t, F.lit('"" twice"'))).when(k == 4, F.concat(t, F.lit(' 5" pipe'))).otherwise(F.concat(F.lit('"\r\n'), t, F.lit('\n\nend"')))
     )
-    return lines.filter((F.col("line") != "") | (F.col("line_no") == 0)), empty
+    day = F.date_format("posted_date", "yyyy-MM-dd")
+    body = rows.select("file_id", "row_idx", F.concat(day, d, note, d, money_text(F.col("credit") - F.col("debit"))).alias("value"))
+    heads = rows.filter("row_idx = 0").select("file_id", F.lit(-1).cast("long").alias("row_idx"), F.concat(F.lit("Date"), d, F.lit("Description"), d, F.lit("Amount")).alias("value"))
+    return body.unionByName(heads)
+
+
+def write_files(lines: DataFrame, path: str) -> None:
+    """Text files of (file_id, row_idx, value), a folder for each file_id."""
+    lines.repartition("file_id").sortWithinPartitions("file_id", "row_idx").select("file_id", "value").write.partitionBy("file_id").text(path)
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,28 +48,23 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(business, date) totals in whole ten-thousandths; never more rows than calendar days."""
     inv = invoices(spark, sf_dir)
-    receipts = (
-        inv.filter("paid")
-        .groupBy("business_id", F.col("paid_date").alias("date"))
-        .agg(F.sum(cents("amount") * 75).alias("receipts_u"))
-    )
-    sales = inv.groupBy("business_id", F.col("issue_date").alias("date")).agg(
-        F.sum(cents("amount") * 25).alias("sales_u")
-    )
+    zero = F.lit(0).cast("long")
+    flow = lambda date, r, s: F.struct(date.alias("date"), r.alias("receipts_u"), s.alias("sales_u"))
+    sale = flow(F.col("issue_date"), zero, cents("amount") * 25)
+    receipt = flow(F.col("paid_date"), cents("amount") * 75, zero)
+    both = inv.select("business_id", F.explode(F.when(F.col("paid"), F.array(sale, receipt)).otherwise(F.array(sale))).alias("f"))
+    money = both.groupBy("business_id", "f.date").agg(F.sum("f.receipts_u").alias("receipts_u"), F.sum("f.sales_u").alias("sales_u"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", "l_shipdate")
-    owner = inv.select("business_id", "invoice_id")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     net_price = cents("l_extendedprice") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
     spend = (
-        lines.join(owner, lines.l_orderkey == owner.invoice_id)
-        .groupBy("business_id", F.col("l_shipdate").cast("date").alias("date"))
+        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        .join(customer, orders.o_custkey == customer.c_custkey)
+        .groupBy(F.col("c_nationkey").cast("long").alias("business_id"), F.col("l_shipdate").cast("date").alias("date"))
         .agg(F.sum(net_price).alias("outflow_u"))
     )
-    zero = F.lit(0).cast("long")
-    parts = (
-        receipts.select("business_id", "date", "receipts_u", zero.alias("sales_u"), zero.alias("outflow_u"))
-        .unionByName(sales.select("business_id", "date", zero.alias("receipts_u"), "sales_u", zero.alias("outflow_u")))
-        .unionByName(spend.select("business_id", "date", zero.alias("receipts_u"), zero.alias("sales_u"), "outflow_u"))
-    )
+    parts = money.withColumn("outflow_u", zero).unionByName(spend.select("business_id", "date", zero.alias("receipts_u"), zero.alias("sales_u"), "outflow_u"))
     return parts.groupBy("business_id", "date").agg(
         F.sum("receipts_u").alias("receipts_u"),
         F.sum("sales_u").alias("sales_u"),

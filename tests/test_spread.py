@@ -14,12 +14,32 @@ def skewed(n=4000, seed=3):
 
 def test_exact_quantiles_match_linear_interpolation(spark):
     pdf = skewed()
-    got = spread.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.93}, accuracy=100).toPandas().set_index("k")
+    got = spread.exact_quantiles(spark.createDataFrame(pdf), ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.93}, parts=16).toPandas().set_index("k")
     for k, g in pdf.groupby("k"):
         want = np.quantile(g["v"], [0.05, 0.5, 0.93])
         assert np.allclose(got.loc[k, ["a", "b", "c"]].astype(float), want)
 
 
+def test_quantiles_of_odd_values(spark):
+    """Ties, signs, tiny and huge values, infinities, null keys and one hot key; few parts make many passes."""
+    rng = np.random.default_rng(4)
+    sets = {
+        0: np.concatenate((np.full(3000, 7.25), rng.normal(0, 1, 40))), 1: rng.normal(0, 1e-12, 501), 2: np.sign(rng.normal(0, 1, 300)) * 10.0 ** rng.uniform(-300, 300, 300),
+        3: np.array([5.0]), 4: np.array([-1.0, 1.0]), 5: np.arange(-500, 501) / 4.0, None: np.array([1.0, 2.0, 4.0, -0.0]),
+    }
+    pdf = [(k, float(x)) for k, values in sets.items() for x in values] + [(6, None)]
+    probs = {"lo": 0.0, "a": 0.1, "m": 0.5, "z": 0.999, "hi": 1.0}
+    for parts in (3, 4096):
+        got = {r.k: r for r in spread.exact_quantiles(spark.createDataFrame(pdf, "k long, v double"), ["k"], "v", probs, parts=parts).collect()}
+        assert got.keys() == sets.keys()
+        for k, values in sets.items():
+            want = np.quantile(values, list(probs.values()))
+            assert got[k].n == len(values) and all(np.isclose(got[k][n], w, rtol=1e-12, atol=0) for n, w in zip(probs, want)), (k, parts)
+    every = spread.exact_quantiles(spark.createDataFrame(pdf, "k long, v double"), [], "v", {"m": 0.5}).first()
+    assert every.m == np.median(np.concatenate(list(sets.values())))
+    assert spread.exact_quantiles(spark.createDataFrame([], "k long, v double"), ["k"], "v", probs).count() == 0
+
+
 def test_running_totals_across_blocks(spark):
     pdf = skewed()
     got = spread.running_totals(spark.createDataFrame(pdf), ["k"], [], "i", {"n": F.lit(1)}, inclusive=False, block_rows=64).toPandas().sort_values("i")
