@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontamination, line_dedup, ngram_join, packing, toxicity
 from ledgerloom.llm.queries import tokenizer_path
-from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.session import cut_lineage, ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that come earlier; one that loses all it says, or keeps only short lines of earlier documents, goes."""
-    found = line_dedup.dedup_lines(docs)
+    found = cut_lineage(line_dedup.dedup_lines(docs))  # read for the stubs as well
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(line_dedup.LAST)).alias("doc"), F.xxhash64("text").alias("row")]
     kept = found.select("*", *keys).join(line_dedup.stubs(found), ["doc", "row"], "left_anti")
     return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("kept_text").cast("long"))}).select(*docs.columns)
