@@ -184,7 +184,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         named = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_old"), "n", "_lo", "_hi", "_want")
         same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_b") == F.col("_old")]
         share = (v / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-        rows = rows.join(named.drop("n", "_want"), reduce(lambda a, b: a & b, same)).withColumn("_part", F.least(F.floor(share * parts), F.lit(parts - 1)).cast("long"))
+        rows = rows.select(*keys, "_v", "_b").join(named.drop("n", "_want"), reduce(lambda a, b: a & b, same)).withColumn("_part", F.least(F.floor(share * parts), F.lit(parts - 1)).cast("long"))
         rows = cut_lineage(rows.select(*keys, "_v", F.xxhash64("_b", "_part").alias("_b"), F.col("_b").alias("_old"), "_part"))
         groups = rows.groupBy(*keys, "_old", "_b", "_part").agg(*limits)
         again = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_old") == F.col("_from")]

@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.spread import lookup_join, running_totals
+
 from ledgerloom.functions.spread import previous_rows
 
 GENESIS = "0" * 64
@@ -91,3 +93,17 @@ def trail(chain: DataFrame, entity_type: str, entity_id: str | Column) -> DataFr
 def approvals(requests: DataFrame) -> DataFrame:
     """Approve entries of owners; any other role is refused and leaves no entry."""
     return requests.filter(F.col("role") == "OWNER").drop("role")
+
+
+def approve(requests: DataFrame, chain: DataFrame) -> DataFrame:
+    """Owners' approvals as new entries of their chains, hashed on from each chain's head; a chain may start here.
+
+    ``requests``: request_no (unique), chain_id, role, timestamp, actor_id, entity_type, entity_id, payload.  Entries of a
+    chain follow each other by request_no; other roles leave no entry.
+    """
+    ends = heads(chain)
+    numbered = running_totals(approvals(requests), ["chain_id"], [], "request_no", {"nth": F.lit(1)}, inclusive=False)
+    sizes = numbered.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n")).join(ends.select("chain_id", "n_entries"), "chain_id", "left")
+    placed = lookup_join(numbered, sizes, ["chain_id"], "n")
+    entries = placed.select("chain_id", (F.coalesce("n_entries", F.lit(0)) + F.col("nth")).alias("sequence"), "timestamp", "actor_id", F.lit("approve").alias("action"), "entity_type", "entity_id", "payload")
+    return append(entries, ends)

@@ -5,26 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COLUMNS = ["record_id", "kind", "amount", "due_date", "settled_date", "counterparty_name", "category", "source_type", "source_reference"]
+from ledgerloom.schemas import RECORDS
+
+COLUMNS = [field.split()[0] for field in RECORDS.split(", ")]
+
+
+def in_shape(rows: DataFrame, **values: object) -> DataFrame:
+    """Rows as records: columns of their own by name, the others from ``values`` (a column or a constant) or null, all cast to the schema."""
+    out = []
+    for field in RECORDS.split(", "):
+        name, kind = field.split()
+        given = values.get(name, name if name in rows.columns else None)
+        column = F.col(given) if isinstance(given, str) else F.lit(given) if given is None or isinstance(given, (bool, float)) else given
+        out.append(column.cast(kind).alias(name))
+    return rows.select(*out)
 
 
 def receipt_records(reviewed: DataFrame) -> DataFrame:
-    """Receipts that were recovered, as outflows that are due and not yet settled."""
+    """Receipts that were recovered, as outflows to their vendor that are due and not yet settled.
+
+    ``reviewed`` keeps business_id, vendor_name and category; receivable and certainty are of inflows alone.
+    """
     good = reviewed.filter(F.col("reject_reason").isNull())
-    return good.select(
-        F.concat(F.lit("receipt-"), F.col("doc_id").cast("string")).alias("record_id"), F.lit("out").alias("kind"), F.col("amount").cast("decimal(28,2)").alias("amount"), "due_date",
-        F.lit(None).cast("date").alias("settled_date"), F.lit(None).cast("string").alias("counterparty_name"), F.lit("uncategorized").alias("category"), F.lit("receipt").alias("source_type"), "source_reference",
-    )
+    name = F.concat(F.lit("receipt-"), F.col("doc_id").cast("string"))
+    return in_shape(good, record_id=name, kind=F.lit("out"), counterparty_name="vendor_name", category=F.coalesce("category", F.lit("uncategorized")), source_type=F.lit("receipt"))
 
 
 def statement_records(records: DataFrame) -> DataFrame:
-    """Statement rows: money that has moved, so there is no due date."""
-    return records.select(
-        "record_id", "kind", F.col("amount").cast("decimal(28,2)").alias("amount"), F.lit(None).cast("date").alias("due_date"), "settled_date", "counterparty_name", "category", "source_type",
-        F.lit(None).cast("string").alias("source_reference"),
-    )
+    """Statement rows: money that has moved, so there is no due date, and an inflow is certain and no receivable."""
+    return in_shape(records, due_date=None)
 
 
 def records_union(reviewed: DataFrame, records: DataFrame) -> DataFrame:
     """Both channels in one shape; no row is matched or dropped here."""
-    return receipt_records(reviewed).select(COLUMNS).unionByName(statement_records(records).select(COLUMNS))
+    return receipt_records(reviewed).unionByName(statement_records(records))

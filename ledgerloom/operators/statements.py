@@ -383,20 +383,22 @@ def records(rows: DataFrame, accepted: DataFrame, source_type: str = "bank_state
 
     The id is a name UUID of business, account, kind, date, amounts and text, so a
     re-delivered row gets the same id; ``occurrence_key`` tells true repeats in one file apart.
-    ``accepted`` has file_id, business_id, account_reference, n_rows.
+    ``accepted`` has file_id, business_id, account_reference, n_rows, and may have source_kind, which then
+    tells the source type instead of ``source_type``.
     """
     j = lookup_join(rows, accepted, ["file_id"], "n_rows", how="inner").filter("reconciled")
     kind = F.when(F.col("credit") > 0, "in").when(F.col("debit") > 0, "out")
     t = lambda c: F.col(c).cast("string")
     key = F.concat_ws("/", F.lit(prefix), t("business_id"), "account_reference", kind, t("posted_date"), t("debit"), t("credit"), "description")
     is_in = F.col("kind") == "in"
+    source = source_type_of(F.col("source_kind")) if "source_kind" in accepted.columns else F.lit(source_type)
     return (
         j.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
             text.name_uuid(text.URL_NAMESPACE, key).alias("record_id"), "kind", "business_id", "file_id", "row_idx",
             F.when(is_in, F.col("credit")).otherwise(F.col("debit")).alias("amount"), F.col("posted_date").alias("due_date"),
             F.col("posted_date").alias("settled_date"), text.counterparty_name(F.col("description")).alias("counterparty_name"),
             F.when(~is_in, "uncategorized").alias("category"), F.when(is_in, F.lit(False)).alias("is_receivable"), F.when(is_in, F.lit(1.0)).alias("certainty"),
-            F.lit(source_type).alias("source_type"), F.coalesce("reference", "account_reference").alias("source_reference"),
+            source.alias("source_type"), F.coalesce("reference", "account_reference").alias("source_reference"),
             F.concat_ws("#", "file_id", t("row_idx")).alias("occurrence_key"),
         )
     )

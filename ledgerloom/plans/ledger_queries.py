@@ -64,6 +64,18 @@ def runway_point(spark, sf):
     return shown(forecast.days_to_zero(naive_path(hist), opening, HORIZON), digits=2)
 
 
+EARLY = "1995-01-02"
+
+
+@query(
+    "history_refusals",
+    twin(f"SELECT business_id, 'no history on or before {EARLY}' AS reject_reason FROM ledger GROUP BY 1 HAVING min(date) > DATE '{EARLY}'", "ledger"),
+)
+def history_refusals(spark, sf):
+    """Businesses that have no day yet at an early decision date."""
+    return ledger.require_history(ledger_table(spark, sf), EARLY)
+
+
 @query(
     "asof_receivables",
     twin("SELECT business_id, invoice_id, counterparty_id, amount, days_until_due FROM open_items", "open_items"),

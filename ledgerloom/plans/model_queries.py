@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import credit, credit_models, forecast, forecast_models
+from ledgerloom.plans.base_sql import cte, twin
 from ledgerloom.plans.credit_queries import features
 from ledgerloom.plans.forecast_queries import CV_HORIZON, N_FOLDS, VALUE
 from ledgerloom.plans.registry import query, shown
@@ -101,9 +102,20 @@ def stream_deduplicated_ledger(spark, sf):
 @query("stream_daily_totals", f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id, count(*) AS n, CAST(sum({CENTS}) AS BIGINT) AS cents FROM events GROUP BY 1, 2")
 def stream_daily_totals(spark, sf):
     e = jobs.event_stream(spark, sf).withColumn("c", F.round(F.col("value") * 100).cast("long"))
-    return shown(jobs.run_to_table(jobs.daily_totals(e, "ts", ["user_id"], "c"), folder(spark), "complete"))
+    return shown(jobs.run_to_keyed_table(jobs.daily_totals(e, "ts", ["user_id"], "c"), folder(spark), ["day", "user_id"]))
 
 
-@query("stream_call_budget")
+cte("call_seq", "SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events")
+_IN_WINDOW = "list_filter(c.times, lambda x: x > s.ts - INTERVAL 7 DAY)"
+cte(
+    "call_walk",
+    f"""SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::BOOLEAN AS accepted, []::TIMESTAMP[] AS times FROM call_seq
+UNION ALL SELECT c.user_id, s.k, s.event_id, len({_IN_WINDOW}) < 20, CASE WHEN len({_IN_WINDOW}) < 20 THEN list_append({_IN_WINDOW}, s.ts) ELSE {_IN_WINDOW} END
+FROM call_walk c JOIN call_seq s ON s.user_id = c.user_id AND s.k = c.k + 1""",
+    "call_seq",
+)
+
+
+@query("stream_call_budget", twin("SELECT user_id, event_id, accepted, CAST(len(times) AS BIGINT) AS used FROM call_walk WHERE k > 0", "call_walk"))
 def stream_call_budget(spark, sf):
     return jobs.run_to_table(jobs.call_budget(jobs.event_stream(spark, sf), "user_id", "ts", 20, 7), folder(spark))

@@ -198,6 +198,38 @@ def approval_entries(spark, sf):
     return audit.approvals(o.select(F.col("o_orderkey").alias("invoice_id"), F.lit("approve").alias("action"), role.alias("role")))
 
 
+cte(
+    "approve_seq",
+    """SELECT o_custkey % 200 AS chain_id, coalesce(n, 0) + row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) - 1 AS sequence, o_orderkey,
+  '{"cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || '}' AS payload
+FROM orders LEFT JOIN (SELECT chain_id, count(*) AS n FROM audit_seq GROUP BY 1) h ON h.chain_id = o_custkey % 200 WHERE o_orderpriority = '1-URGENT'""",
+    "audit_seq",
+)
+cte(
+    "approve_chain",
+    f"""SELECT a.chain_id, coalesce(h.last, -1) AS sequence, coalesce(h.entry_hash, '{audit.GENESIS}') AS entry_hash, NULL::BIGINT AS o_orderkey FROM (SELECT DISTINCT chain_id FROM approve_seq) a
+LEFT JOIN (SELECT chain_id, max(sequence) AS last, arg_max(entry_hash, sequence) AS entry_hash FROM audit_chain WHERE sequence >= 0 GROUP BY 1) h ON h.chain_id = a.chain_id
+UNION ALL
+SELECT s.chain_id, s.sequence, sha256('{{"action":"approve","actor_id":"owner","entity_id":"' || s.o_orderkey || '","entity_type":"invoice","payload":' || s.payload || ',"previous_hash":"' || c.entry_hash
+  || '","sequence":' || s.sequence || ',"timestamp":"o' || s.o_orderkey || '"}}'), s.o_orderkey FROM approve_chain c JOIN approve_seq s ON s.chain_id = c.chain_id AND s.sequence = c.sequence + 1""",
+    "approve_seq",
+    "audit_chain",
+)
+
+
+@query("approval_chain", twin("SELECT chain_id, sequence, CAST(o_orderkey AS VARCHAR) AS entity_id, entry_hash FROM approve_chain WHERE o_orderkey IS NOT NULL", "approve_chain"))
+def approval_chain(spark, sf):
+    """Approvals hashed on from the heads of the event chains."""
+    o = tables.table(spark, sf, "orders")
+    role = F.when(F.col("o_orderpriority") == "1-URGENT", "OWNER").otherwise("STAFF")
+    requests = o.select(
+        F.col("o_orderkey").alias("request_no"), (F.col("o_custkey") % 200).alias("chain_id"), role.alias("role"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("timestamp"),
+        F.lit("owner").alias("actor_id"), F.lit("invoice").alias("entity_type"), F.col("o_orderkey").cast("string").alias("entity_id"),
+        F.concat(F.lit('{"cents":'), F.round(F.col("o_totalprice") * 100).cast("long").cast("string"), F.lit("}")).alias("payload"),
+    )
+    return shown(audit.approve(requests, cut_lineage(audit.append(events_chain(spark, sf)))).select("chain_id", "sequence", "entity_id", "entry_hash"))
+
+
 @query(
     "usage_meter",
     """SELECT user_id, coalesce(n, 0) AS calls_used, greatest(0, 40 - coalesce(n, 0)) AS calls_remaining, coalesce(n, 0) >= 40 AS exhausted, CAST(coalesce(d, DATE '2024-01-20') + 14 AS VARCHAR) AS window_resets_on

@@ -359,7 +359,8 @@ FROM (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('ledger
 def statement_record_rows(spark, sf):
     rows, mapping, *_ = chosen_rows(spark, sf)
     accounts = mapping.filter(~F.col("rejected")).select(
-        "file_id", "n_rows", (F.col("file_id") % 25).alias("business_id"), F.concat(F.lit("ACC-"), F.col("file_id").cast("string")).alias("account_reference")
+        "file_id", "n_rows", (F.col("file_id") % 25).alias("business_id"), F.concat(F.lit("ACC-"), F.col("file_id").cast("string")).alias("account_reference"),
+        F.when(F.col("file_id") % 2 == 0, "local").otherwise("aggregator").alias("source_kind"),
     )
     return statements.records(rows, accounts)
 

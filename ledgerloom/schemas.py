@@ -5,17 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PAYMENTS = (
-    "business_id long, invoice_id long, counterparty_id long, issue_date date, due_date date, amount double, delay_days double, "
-    "paid boolean, paid_date date, days_overdue double"
-)
-LEDGER = "business_id long, date date, inflow double, receipts double, cash_sales double, outflow double, net double, net_ex_receipts double, balance double"
+#: Records of either ingestion channel.
 RECORDS = (
     "record_id string, kind string, business_id long, amount decimal(28,2), due_date date, settled_date date, counterparty_name string, "
     "category string, is_receivable boolean, certainty double, source_type string, source_reference string"
 )
-OCR_LINES = "doc_id long, line_no long, text string, confidence double, x0 double, y0 double, x1 double, y1 double, angle double"
-
 # Allowed values of enumerated columns (fixed values).
 ALLOWED = {
     "flexibility": ("rigid", "moderate", "flexible"),
@@ -25,10 +19,6 @@ ALLOWED = {
 }
 
 
-def outside_allowed(column: str) -> Column:
-    return ~F.col(column).isin(*ALLOWED[column])
-
-
 def link_violation() -> Column:
     """A payable may not point at an inflow, nor a receivable at an outflow."""
     return F.when((F.col("direction") == "payable") & F.col("inflow_id").isNotNull(), "payable cannot link an inflow").when(

@@ -51,7 +51,9 @@ def test_random_files_over_many_blocks(spark, tmp_path, small_blocks):
     got, long, blocks = read(spark, tmp_path)
     assert blocks > 2 * len(texts) and long.count() == 0
     for name, text in texts.items():
-        assert got.get(name, []) == serial(text), name
+        # a last record that is never closed comes without its last line end
+        want = [row[:-1] + [row[-1].removesuffix("\n")] for row in serial(text)] if name == "open" else serial(text)
+        assert got.get(name, []) == want, name
 
 
 def test_carriage_returns_marks_and_encodings(spark, tmp_path, small_blocks):
