@@ -33,10 +33,9 @@ def test_daily_totals_are_updated_by_key(spark, tmp_path):
     read = lambda df: {(r.day, r.user_id): (r.n, r.cents) for r in df.collect()}
     assert read(got) == want
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "sink" / "out").iterdir() if "=" in p.name)
-    rows = jobs.latest(spark, str(tmp_path / "sink"), totals.schema, ["day", "user_id"])
     batch = spark.read.parquet(str(tmp_path / "sink" / "out" / f"batch={last:010d}")).collect()
     jobs.keep_batch(spark.createDataFrame(batch, totals.schema), last, str(tmp_path / "sink"))  # the same batch again
-    assert read(rows) == want
+    assert read(jobs.latest(spark, str(tmp_path / "sink"), totals.schema, ["day", "user_id"])) == want
 
 
 def test_call_budget_over_batches(spark, tmp_path):
