@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +13,26 @@ from ledgerloom.llm import decontamination, line_dedup, ngram_join, packing, tox
 from ledgerloom.llm.queries import tokenizer_path
 from ledgerloom.session import cut_lineage, ensure_checkpoint_dir
 
+BATCH_ROWS = 500
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Send fewer whole texts to a Python worker at once: what a worker has once held stays with it in later stages."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
     network = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, network).filter("predicted = 0").select(*docs.columns)
+    with small_batches(spark):
+        return cut_lineage(toxicity.scored(docs, network).filter("predicted = 0").select(*docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
