@@ -7,8 +7,9 @@ more generally, k tokens among the first n - o + k.  Hence:
 - tokens that one document holds need no index entry, so most documents have none at all;
 - equal token sets count once, and each set is first compared with the most typical set (that with
   the fewest tokens of its own) under each of its prefix tokens: groups of copies of any size join there;
-- a token that still spans several classes is indexed alone while its group is small; a frequent one
-  is extended by the further tokens of the next longer prefix, to combinations of two, then three;
+- a token that still spans several classes is indexed with the band of the smaller partner's size, alone while
+  comparing its group is cheap; where extending costs less (counted before a row is written), it is extended by
+  the further tokens of the next longer prefix, to combinations of two, then three;
 - at the k-th common token of two partners, what both have left must still reach the overlap they need;
 - every candidate pair is verified on its whole token sets before it links.
 
@@ -19,6 +20,7 @@ sends a token once, however many documents hold it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +36,12 @@ from ledgerloom.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 75
-#: Where more sets than this may be the smaller partner under an index key, it is extended by one more token, up
-#: to LONGEST tokens; below it, each set meets this many at most.
-GROUP = 64
+#: An index key is extended by one more token, up to LONGEST, where more sets than GROUP may be the smaller partner
+#: and comparing its sets takes more than WORTH pairs for each row that extending it can write.
+GROUP, WORTH = 64, 32
 LONGEST = 3
+#: Sizes of two partners lie in one band or in neighbouring ones: a band is a little wider than their largest ratio.
+BAND = 1.01 * math.log(100 / PERCENT)
 PIECE = 1 << 20
 _A = np.uint64(0x9FB21C651E98DF25)
 
@@ -260,31 +264,38 @@ def _across(sets: DataFrame, classes: DataFrame) -> DataFrame:
     stop = lambda k: F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + k
     short = lambda k: F.col("at") < F.col("n") - need(2 * F.col("n")) + k
 
-    def spans(df: DataFrame, key: str, k: int) -> DataFrame:
-        """Keys of sets of several classes, with the number of sets that may be the smaller of a pair."""
-        found = df.groupBy(key).agg(F.min("class").alias("low"), F.max("class").alias("high"), F.sum(short(k).cast("long")).alias("size"))
-        return found.filter("low < high and size > 0").select(key, "size")
+    def spans(df: DataFrame, k: int) -> DataFrame:
+        """Keys of sets of several classes, and whether extending them is worth it."""
+        more = F.greatest(stop(k + 1) - 1 - F.col("at"), F.lit(0))  # rows that extending this one can write
+        found = df.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.sum((F.col("own") & short(k)).cast("long")).alias("size"), F.count("*").alias("held"), F.sum(more).alias("more"))
+        large = (F.col("size") > GROUP) & (F.col("size") * F.col("held") > WORTH * F.col("more")) & F.lit(k < LONGEST)
+        return found.filter("low < high and size > 0").select("key", large.alias("large"))
 
     indexed = sets.select("node", "body").mapInArrow(entries, "token long, node long, n long, at long")
     indexed = indexed.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    band = F.floor(F.log("n") / BAND)
     with tidy(sets.sparkSession):
         indexed = cut_lineage(indexed)
-        shared = cut_lineage(indexed.join(spans(indexed, "token", LONGEST).select("token"), "token"))
-        level, out = shared.filter(F.col("at") < stop(1)).select(F.col("token").alias("key"), "node", "n", "class", "at"), None
+        spread = indexed.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(short(LONGEST)).alias("may")).filter("low < high and may")
+        shared = cut_lineage(indexed.join(spread.select("token"), "token"))
+        # A set stands in its own band, where it may be the smaller partner, and in the one below.
+        sides = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("side")
+        level, out = shared.filter(F.col("at") < stop(1)).select("token", "node", "n", "class", "at", sides), None
+        level = level.select(F.xxhash64("token", "side.band").alias("key"), "node", "n", "class", "at", "side.own")
         for k in range(1, LONGEST + 1):
-            level = cut_lineage(level.join(spans(level, "key", k), "key"))
-            small = level.filter((F.col("size") <= GROUP) | F.lit(k == LONGEST))
-            a, b = small.filter(short(k)).alias("a"), small.alias("b")
+            level = cut_lineage(level.join(spans(level, k), "key"))
+            small = level.filter(~F.col("large"))
+            a, b = small.filter(F.col("own") & short(k)).alias("a"), small.alias("b")
             ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
             left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
             fits = (F.col("a.key") == F.col("b.key")) & ordered & (F.col("a.class") != F.col("b.class")) & (100 * F.col("a.n") >= PERCENT * F.col("b.n")) & (k + left >= need(F.col("a.n") + F.col("b.n")))
             found = cut_lineage(a.join(b, fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
             out = found if out is None else out.union(found)
-            large = level.filter(F.col("size") > GROUP).drop("size")
+            large = level.filter("large").drop("large")
             if k == LONGEST or not large.limit(1).count():
                 break
             more = shared.filter(F.col("at") < stop(k + 1)).select("node", F.col("token"), F.col("at").alias("next"))
-            level = large.join(more, "node").filter("next > at").select(F.xxhash64("key", "token").alias("key"), "node", "n", "class", F.col("next").alias("at"))
+            level = large.join(more, "node").filter("next > at").select(F.xxhash64("key", "token").alias("key"), "node", "n", "class", F.col("next").alias("at"), "own")
         return cut_lineage(out.distinct())
 
 

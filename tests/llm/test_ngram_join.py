@@ -50,9 +50,10 @@ def corpus(seed, n):
     return rows + [(12, "twice the same id here now"), (12, "other text of that id is this"), (None, rows[20][1]), (None, "lonely null id")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "GROUP", 5)
+@pytest.mark.parametrize("seed, group, worth", [(1, 5, 0), (2, 5, 1), (2, 64, 32)])
+def test_against_brute_force(spark, seed, group, worth, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "WORTH", worth)
     rows = corpus(seed, 260)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int").repartition(3)
     got = ngram_join.similar_documents(docs, chunk_bytes=5_000).collect()
