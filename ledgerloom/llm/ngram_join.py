@@ -10,7 +10,8 @@ more generally, k tokens among the first n - o + k.  Hence:
 - a token that still spans several classes is indexed with the band of the smaller partner's size, alone while
   comparing its group is cheap; where extending costs less (counted before a row is written), it is extended by
   the further tokens of the next longer prefix, to combinations of two, then three;
-- at the k-th common token of two partners, what both have left must still reach the overlap they need;
+- at the k-th common token of two partners, what both have left must still reach the overlap they need; the
+  smallest set under a key gives that bound before any two are compared;
 - every candidate pair is verified on its whole token sets before it links.
 
 Only pairs that lie in one class already are left out; no link between classes can be lost.
@@ -264,6 +265,8 @@ def _across(sets: DataFrame, classes: DataFrame) -> DataFrame:
     stop = lambda k: F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + k
     short = lambda k: F.col("at") < F.col("n") - need(2 * F.col("n")) + k
 
+    enough = lambda k, at: k + F.col("n") - at - 1 >= need(F.col("n") + F.col("least"))
+
     def spans(df: DataFrame, k: int) -> DataFrame:
         """Keys of sets of several classes, and whether extending them is worth it."""
         more = F.greatest(stop(k + 1) - 1 - F.col("at"), F.lit(0))  # rows that extending this one can write
@@ -271,6 +274,12 @@ def _across(sets: DataFrame, classes: DataFrame) -> DataFrame:
         large = (F.col("size") > GROUP) & (F.col("size") * F.col("held") > WORTH * F.col("more")) & F.lit(k < LONGEST)
         return found.filter("low < high and size > 0").select("key", large.alias("large"))
 
+    def within(df: DataFrame, k: int) -> DataFrame:
+        """Sets whose tokens from here on suffice for ``least``, the smallest set that may be the smaller one under their key."""
+        found = df.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.when(F.col("own") & short(k), F.col("n"))).alias("least"))
+        found = found.filter("low < high and least is not null").select("key", "least")
+        return cut_lineage(df.join(found, "key").filter(enough(k, F.col("at"))))
+
     indexed = sets.select("node", "body").mapInArrow(entries, "token long, node long, n long, at long")
     indexed = indexed.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     band = F.floor(F.log("n") / BAND)
@@ -283,6 +292,7 @@ def _across(sets: DataFrame, classes: DataFrame) -> DataFrame:
         level, out = shared.filter(F.col("at") < stop(1)).select("token", "node", "n", "class", "at", sides), None
         level = level.select(F.xxhash64("token", "side.band").alias("key"), "node", "n", "class", "at", "side.own")
         for k in range(1, LONGEST + 1):
+            level = within(level, k)
             level = cut_lineage(level.join(spans(level, k), "key"))
             small = level.filter(~F.col("large"))
             a, b = small.filter(F.col("own") & short(k)).alias("a"), small.alias("b")
@@ -295,7 +305,8 @@ def _across(sets: DataFrame, classes: DataFrame) -> DataFrame:
             if k == LONGEST or not large.limit(1).count():
                 break
             more = shared.filter(F.col("at") < stop(k + 1)).select("node", F.col("token"), F.col("at").alias("next"))
-            level = large.join(more, "node").filter("next > at").select(F.xxhash64("key", "token").alias("key"), "node", "n", "class", F.col("next").alias("at"), "own")
+            # The smallest set under a longer key is no smaller, so tokens too late for this one need no row.
+            level = large.join(more, "node").filter((F.col("next") > F.col("at")) & enough(k + 1, F.col("next"))).select(F.xxhash64("key", "token").alias("key"), "node", "n", "class", F.col("next").alias("at"), "own")
         return cut_lineage(out.distinct())
 
 
