@@ -56,7 +56,7 @@ def locate_header(rows: DataFrame, scan_rows: int = SCAN_ROWS) -> DataFrame:
     cells = head.select("file_id", "line_no", width.alias("w"), F.explode("cells").alias("cell"))
     # Few bytes but much work for each: a number of tasks that is not merged by size.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = cells.select("cell").filter(F.trim("cell") != "").distinct().repartition(tasks, "cell").withColumn("vocab", header_vocabulary("cell"))
+    words = cells.select("cell").filter(F.trim("cell") != "").distinct().repartition(tasks).withColumn("vocab", header_vocabulary("cell"))
     scored = cells.join(words, "cell", "left").groupBy("file_id", "line_no", "w").agg(
         (F.sum(F.coalesce("vocab", F.lit(0.0))) - 2.0 * F.count(text.parse_amount(F.col("cell")))).alias("s")
     )
