@@ -62,3 +62,15 @@ def test_thresholds_stay_ordered():
     assert (np.diff(model.thresholds) > 0).all()
     z = np.array([quality.sums(model, np.array([g, 10], np.int32), np.ones(2, np.float32), np.array([0, 2]))[0] for g in range(4)])
     assert (np.diff(quality.tails(model, z).sum(axis=1)) > 0).all()
+
+
+def test_toxicity_learns_from_rows_beyond_the_sample(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 8)) for _ in range(300)]
+    made = [(k, k % 2, " ".join([*rng.choice(words[:180], 12), words[180 + 60 * (k % 2) + int(rng.integers(60))]])) for k in range(4000)]
+    docs = spark.createDataFrame([(k, t) for k, _, t in made], "doc_id long, text string")
+    rated = spark.createDataFrame([(k, t) for k, t, _ in made], "doc_id long, toxic int")
+    net = toxicity.fit(docs, rated, per_class=10)
+    got = toxicity.scored(docs, net).collect()
+    score, toxic = np.array([r.score for r in got]), np.array([r.doc_id % 2 for r in got])
+    assert auc(score, toxic) > 0.95 and ((score >= 0.5) == toxic).mean() > 0.9
