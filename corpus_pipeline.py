@@ -14,6 +14,8 @@ from ledgerloom.llm.queries import tokenizer_path
 from ledgerloom.session import cut_lineage, ensure_checkpoint_dir
 
 BATCH_ROWS = 500
+#: Of written copies of whole texts.
+CODEC = "zstd"
 
 
 @contextmanager
@@ -32,12 +34,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
     network = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     with small_batches(spark):
-        return cut_lineage(toxicity.scored(docs, network).filter("predicted = 0").select(*docs.columns))
+        return cut_lineage(toxicity.scored(docs, network).filter("predicted = 0").select(*docs.columns), CODEC)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that come earlier; one that loses all it says, or keeps only short lines of earlier documents, goes."""
-    found = cut_lineage(line_dedup.dedup_lines(docs))  # read for the stubs as well
+    found = cut_lineage(line_dedup.dedup_lines(docs), CODEC)  # read for the stubs as well
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(line_dedup.LAST)).alias("doc"), F.xxhash64("text").alias("row")]
     kept = found.select("*", *keys).join(line_dedup.stubs(found), ["doc", "row"], "left_anti")
     return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("kept_text").cast("long"))}).select(*docs.columns)

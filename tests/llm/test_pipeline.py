@@ -82,3 +82,12 @@ def test_copies_leave_no_stub(spark):
     rows = [(1, f"Title\n{long}\n\nEnd"), (2, f"Title\n{long}\n\nEnd"), (3, f"Other\n{long}\nEnd"), (4, "Title\nEnd"), (5, f"{long}\nMore\nMore"), (6, long), (None, f"End\n{long}")]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
     assert texts(corpus_pipeline.drop_repeated_lines(spark, docs, SF)) == {1: rows[0][1], 3: "Other\nEnd", 4: "Title\nEnd", 5: "More\nMore"}
+
+
+def test_copies_of_texts_are_written_small(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    small = docs.filter("doc_id < 40")
+    written, cut = [], corpus_pipeline.cut_lineage
+    monkeypatch.setattr(corpus_pipeline, "cut_lineage", lambda *a: written.append(cut(*a)) or written[-1])
+    corpus_pipeline.drop_repeated_lines(spark, small, SF).count()
+    assert written and all(f.endswith(".zstd.parquet") for f in written[0].inputFiles())
