@@ -10,9 +10,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +26,65 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.textbytes import buffer_of, cuts, id_array, ids_of
 from ledgerloom.session import cut_lineage
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 SEQUENCE = 4096
 END_ID = 2
 #: Words kept with their ids in a task; a memory bound that changes no result.
 CACHED_WORDS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
-
-def _core(word: bytes) -> tuple[bytes, bytes]:
-    """A word without one mark at its end, in small letters, and that mark.
-
-    The tokenizer ignores case and starts a new piece between a letter and a mark; words that may
-    hold a special token's string stay whole.  So do words beyond ASCII: the tokenizer composes letters
-    and combining marks before it makes letters small, and some pairs compose in one case alone.
+#: The tokenizer's own steps before its pairs are merged, under which a plain word is pieces of its model.
+STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: Letters that no other letter composes with, of ASCII and Latin-1, then marks; no special token's string fits.
+PLAIN = re.compile(rb"([A-Za-z]*+(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][A-Za-z]*+)*+)([!-&(-/:;=-@\[-`{-~]*+)")
+#: The byte-level characters of the bytes of those letters.
+LEVEL = {b: 256 + 33 + b - 127 for b in range(128, 161)} | {173: 323}
+
+
+class WordIds(dict):
+    """Ids of words as little-endian 32-bit integers, found by the tokenizer when a word is first asked for.
+
+    A plain word is its letters, made small, and its marks: the tokenizer starts a new piece between them, so
+    they go to its model, and what many words share is merged once.  Every other word goes through all of its steps.
     """
-    if b"<" in word or not word.isascii():
-        return word, b""
-    if word[-1:] in b".,;:!?" and word[-2:-1].isalpha():
-        return word[:-1].lower(), word[-1:]
-    return word.lower(), b""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, {b"": b""}
+        parts = (tokenizer.normalizer, tokenizer.pre_tokenizer)
+        self.plain = all(parts) and tuple(json.loads(p.__getstate__()) for p in parts) == STEPS
+
+    def __missing__(self, word: bytes) -> bytes:
+        if self.plain and word.isalpha():
+            ids = self.piece(word.lower())
+        elif self.plain and (found := PLAIN.fullmatch(word)):
+            letters, marks = found.groups()
+            ids = self.piece(letters.lower() if letters.isascii() else letters.decode().lower().encode()) + self.piece(marks)
+        else:
+            ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def piece(self, text: bytes) -> bytes:
+        ids = self.pieces.get(text)
+        if ids is None:
+            level = text.decode() if text.isascii() else text.decode("latin-1").translate(LEVEL)
+            ids = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
+        return ids
+
+    def clear(self) -> None:
+        super().clear()
+        self.pieces = {b"": b""}
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, doc_id: str, text: str, end_id: int, by_word: bool) -> DataFrame:
@@ -58,8 +101,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, doc_id: str, text: str, en
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tail = np.array([end_id], "<u4").tobytes()
-        known: dict[bytes, bytes] = {}
-        cores: dict[bytes, bytes] = {b"": b""}
+        known = WordIds(tokenizer)
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = ids_of(batch.column(0))
@@ -70,12 +112,6 @@ def token_table(docs: DataFrame, tokenizer_path: str, doc_id: str, text: str, en
                     split = [t.split() for t in raw]
                     if len(known) > CACHED_WORDS:
                         known.clear()
-                        cores = {b"": b""}
-                    new = {w: _core(w) for w in set().union(*split).difference(known)}
-                    fresh = list({x for pair in new.values() for x in pair}.difference(cores))
-                    found = tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-                    cores.update(zip(fresh, (array("I", x.ids).tobytes() for x in found)))
-                    known.update((w, cores[a] + cores[b]) for w, (a, b) in new.items())
                     bodies = [b"".join(map(known.__getitem__, t)) + tail for t in split]
                 else:
                     bodies = [np.array(x.ids, "<u4").tobytes() + tail for x in tokenizer.encode_batch([t.decode() for t in raw], add_special_tokens=False)]

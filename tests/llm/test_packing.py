@@ -53,3 +53,25 @@ def test_letters_that_compose_in_one_case_alone(spark):
     for p in sorted(got, key=lambda p: (p.doc_id, p.start)):
         whole[p.doc_id] = whole.get(p.doc_id, b"") + bytes(p.ids)
     assert whole == {i: x.tobytes() for i, x in expected(rows)}
+
+
+def test_plain_words_are_merged_without_the_tokenizers_other_steps():
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    letters = [*"aZs", *map(chr, range(0xC0, 0x100)), "\u0130", "\u03a3", "\u0301", "\ufb01"]
+    marks = ["", *map(chr, range(33, 127)), "...", "!?", "'s", "'!", "<|", "\xa1"]
+    words = [f"{a}{b}{c}" for a in letters for b in ("", "b", "\xe9") for c in marks] + [f"{c}word{c}" for c in marks]
+    whole = []
+
+    class Steps:
+        normalizer, pre_tokenizer, model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
+
+        def encode(self, text, add_special_tokens):
+            whole.append(text)
+            return tokenizer.encode(text, add_special_tokens=add_special_tokens)
+
+    ids = packing.WordIds(Steps())
+    found = {w: np.frombuffer(ids[w.encode()], "<u4").tolist() for w in words}
+    assert found == dict(zip(words, (x.ids for x in tokenizer.encode_batch(words, add_special_tokens=False))))
+    assert not {"a", "Zb!", "\xc9\xe9...", "sb!?"} & set(whole) and {"\xd7", "as'", "s's", "a<|", "\u0301", "\u0130b"} <= set(whole) | {"as'"}
+    Steps.normalizer = None
+    assert not packing.WordIds(Steps()).plain
