@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.chunks import share
-from ledgerloom.llm.labelled import grades, sample
+from ledgerloom.llm.labelled import grades, held_out, sample
 from ledgerloom.llm.textbytes import ALNUM, LOWER, Lookup, buffer_of, cuts, hash_bytes, mix, span_hash, words
 from ledgerloom.session import cut_lineage
 
@@ -287,8 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = buffer_of(batch.column(0))
-            _, rows, first = hashed(buf, offs)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[:, a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()), batch.column(1), batch.column(2).cast(pa.int64())], ["rows", "doc_id", "grade"])
+            for i, j in cuts(offs, 1 << 20):
+                _, rows, first = hashed(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                lines = pa.array([rows[:, a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([lines, batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i).cast(pa.int64())], ["rows", "doc_id", "grade"])
 
     rows = sample(docs, labels.filter(~proof), grade, per_class, 2, doc_id, text).mapInArrow(read, "rows binary, doc_id long, grade long").toArrow().sort_by("doc_id")
     texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(2, -1) for x in rows.column("rows")]
@@ -296,8 +298,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not net.weights.any():  # labels of one class alone
         return net
     rated = grades(labels, grade, doc_id).filter(F.col("grade").isin(0, 1)).withColumn("proof", F.pmod(F.xxhash64(F.lit("proof"), "labelled_id"), F.lit(PROOF)) == 0)
-    every = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("labelled_id")).join(rated, "labelled_id")
-    mixed = every.withColumn("at", F.xxhash64("labelled_id", "text")).repartition("at").sortWithinPartitions("at", "labelled_id")
+    # the join's shuffle by id mixes the rows as well, so texts move once
+    every = docs.filter(~held_out(doc_id)).select(F.col(text).alias("text"), F.col(doc_id).alias("labelled_id")).join(rated.hint("shuffle_hash"), "labelled_id")
+    mixed = every.withColumn("at", F.xxhash64("labelled_id", "text")).sortWithinPartitions("at", "labelled_id")
     every = cut_lineage(mixed.select("text", "grade", "proof"))
     rounds = min(ROUNDS[1], max(ROUNDS[0], -(-VISITS // max(1, every.filter("NOT proof").count()))))
     for k in range(rounds):

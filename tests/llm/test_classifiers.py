@@ -74,3 +74,18 @@ def test_toxicity_learns_from_rows_beyond_the_sample(spark):
     got = toxicity.scored(docs, net).collect()
     score, toxic = np.array([r.score for r in got]), np.array([r.doc_id % 2 for r in got])
     assert auc(score, toxic) > 0.95 and ((score >= 0.5) == toxic).mean() > 0.9
+
+
+def test_texts_move_once_to_their_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k} " * 9 + "bad " * (k % 2)) for k in range(400)], "doc_id long, text string")
+    rated = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    plans, cut = [], toxicity.cut_lineage
+    monkeypatch.setattr(toxicity, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        toxicity.fit(docs, rated, per_class=10)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans[0].count("Exchange hashpartitioning(labelled_id") == 2  # one of the texts, one of the labels
+    assert plans[0].count("Exchange ") == 2
