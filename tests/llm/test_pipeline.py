@@ -91,3 +91,12 @@ def test_copies_of_texts_are_written_small(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "cut_lineage", lambda *a: written.append(cut(*a)) or written[-1])
     corpus_pipeline.drop_repeated_lines(spark, small, SF).count()
     assert written and all(f.endswith(".zstd.parquet") for f in written[0].inputFiles())
+
+
+def test_learning_sends_few_texts_at_once(spark, monkeypatch):
+    sizes, key = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    fit = corpus_pipeline.toxicity.fit
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda *a: sizes.append(spark.conf.get(key)) or fit(*a))
+    corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(50), SF)
+    assert sizes == [str(corpus_pipeline.BATCH_ROWS)] and spark.conf.get(key) == before
