@@ -48,3 +48,19 @@ def test_every_bill_is_screened(spark):
     assert rows.row_id.is_unique and rows.flagged_by_forest.any() and not rows.flagged_by_forest.all()
     band = screening_queries.duplicate_band_join(spark, "/root/testdata/sf0.001").toPandas()
     assert (rows.reason == "exact duplicate").sum() == band[band.duplicate_of.notna()].copies.sum()
+
+
+def test_lines_move_once_to_the_ledger(spark):
+    from ledgerloom.sources import tables
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tables.daily_flows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    scan = next(k for k, x in enumerate(plan) if "FileScan" in x and "l_orderkey" in x)
+    above = [k for k in range(scan) if depth[k] < depth[scan] and depth[k] < min(depth[k + 1 : scan + 1])]
+    moves = [plan[k] for k in above if "Exchange hashpartitioning" in plan[k]]
+    assert sum("l_orderkey" in x for x in moves) == 1 and not any("custkey" in x for x in moves)
