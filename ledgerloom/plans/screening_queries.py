@@ -102,7 +102,7 @@ def density_labels(spark, sf):
 @query("isolation_forest")
 def isolation_forest(spark, sf):
     inv = tables.invoices(spark, sf).select("invoice_id", "amount", F.col("delay_days").cast("double").alias("delay_days"), F.datediff("due_date", "issue_date").cast("double").alias("terms"))
-    return shown(anomaly.isolation_forest(inv, "invoice_id", ["amount", "delay_days", "terms"]))
+    return shown(anomaly.isolation_forest(cut_lineage(inv), "invoice_id", ["amount", "delay_days", "terms"]))
 
 
 @query("duplicate_screen")
@@ -112,16 +112,22 @@ def duplicate_screen(spark, sf):
     A bill_id can repeat; row_id adds the place among the rows that share it.
     """
     same = Window.partitionBy("bill_id").orderBy("vendor", "cents", "day", "amount")
-    c = cut_lineage(line_bills(spark, sf).withColumn("row_id", F.col("bill_id").cast("long") * (1 << 20) + F.row_number().over(same)))
-    exact = anomaly.first_duplicates(c, "vendor", "cents", "day", "bill_id").select("row_id", "bill_id", "duplicate_of")
-    feats = cut_lineage(c.select("row_id", "amount", F.col("day").cast("double").alias("due"), F.pmod(F.xxhash64("vendor"), F.lit(10_000)).cast("double").alias("code")))
-    dens = anomaly.dbscan(anomaly.standardize(feats, ["amount", "due", "code"]), "row_id", ["z_amount", "z_due", "z_code"])
-    forest = anomaly.isolation_forest(feats, "row_id", ["amount", "due", "code"]).withColumnRenamed("score", "forest_score")
-    z = anomaly.robust_z(c.select("row_id", "amount", F.lit(0).alias("g")), ["g"], "amount").drop("g", "flagged", "amount")
+    exact = anomaly.first_duplicates(line_bills(spark, sf), "vendor", "cents", "day", "bill_id")
+    bills = cut_lineage(exact.select(
+        (F.col("bill_id").cast("long") * (1 << 20) + F.row_number().over(same)).alias("row_id"), "bill_id", F.col("duplicate_of").alias("first_bill"),
+        "amount", F.col("day").cast("double").alias("due"), F.pmod(F.xxhash64("vendor"), F.lit(10_000)).cast("double").alias("code"),
+    ))
+    # Each step passes on the columns of the ones before, so that no row is looked up again by its id.
+    known = ["bill_id", "first_bill", "amount", "due", "code"]
+    forest = anomaly.isolation_forest(bills, "row_id", ["amount", "due", "code"], keep=known).withColumnRenamed("score", "forest_score")
+    z = anomaly.robust_z(forest.withColumn("g", F.lit(0)), ["g"], "amount", written=True).drop("g", "flagged")
+    known = ["bill_id", "first_bill", "forest_score", "flagged_by_forest", "robust_z"]
+    dens = anomaly.dbscan(anomaly.standardize(z, ["amount", "due", "code"]), "row_id", ["z_amount", "z_due", "z_code"], keep=known)
     reason = (
         F.when(F.col("duplicate_of").isNotNull(), "exact duplicate").when(F.col("cluster") >= 0, "near-duplicate candidate").otherwise("no duplicate signal")
     )
-    return shown(exact.join(dens, "row_id").join(forest, "row_id").join(z, "row_id").withColumn("reason", reason))
+    dens = dens.withColumnRenamed("first_bill", "duplicate_of")
+    return shown(dens.select("row_id", "bill_id", "duplicate_of", "core", "cluster", "forest_score", "flagged_by_forest", "robust_z", reason.alias("reason")))
 
 
 def events_chain(spark, sf):

@@ -64,3 +64,38 @@ def test_lines_move_once_to_the_ledger(spark):
     above = [k for k in range(scan) if depth[k] < depth[scan] and depth[k] < min(depth[k + 1 : scan + 1])]
     moves = [plan[k] for k in above if "Exchange hashpartitioning" in plan[k]]
     assert sum("l_orderkey" in x for x in moves) == 1 and not any("custkey" in x for x in moves)
+
+
+def test_boxes_between_clusters_are_cut_finer(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    strips = [np.column_stack([rng.uniform(0, 6, 300), rng.uniform(y, y + 0.4, 300)]) for y in (0.0, 0.93, 1.7)]
+    at = np.vstack([*strips, rng.uniform(-6, 12, (60, 2))])
+    near = ((at[:, None] - at[None]) ** 2).sum(-1) <= 0.25
+    core = near.sum(1) >= 3
+    label = np.where(core, np.arange(len(at)), len(at))
+    while True:
+        new = np.where(core, np.where(near & core[None], label[None], len(at)).min(1), len(at))
+        if (new == label).all():
+            break
+        label = new
+    want = np.where(core, label, np.where(near & core[None], label[None], len(at)).min(1))
+    want = np.where(want == len(at), -1, want)
+    points = spark.createDataFrame([(k, float(x), float(y), f"p{k}") for k, (x, y) in enumerate(at)], "id long, a double, b double, name string")
+    for pairs in (1 << 26, 0):
+        got = anomaly.dbscan(points, "id", ["a", "b"], eps=0.5, min_samples=3, keep=["name"], pairs=pairs).collect()
+        assert {r.id: (r.core, r.cluster) for r in got} == {k: (bool(core[k]), int(want[k])) for k in range(len(at))}
+        assert all(r.name == f"p{r.id}" for r in got)
+    assert len(Counter(want)) >= 3
+
+
+def test_points_of_connected_cells_are_not_compared(spark, monkeypatch):
+    points = spark.range(20_000).select("id", (F.rand(3) * 3).alias("x"), (F.rand(4) * 3).alias("y"))
+    written = []
+    kept = anomaly.cut_lineage
+    monkeypatch.setattr(anomaly, "cut_lineage", lambda df, *a: written.append(kept(df, *a)) or written[-1])
+    assert {r.cluster for r in anomaly.dbscan(kept(points), "id", ["x", "y"], eps=0.5).select("cluster").distinct().collect()} == {0}
+    assert not any(df.count() for df in written if {"x0", "x1"} <= set(df.columns))  # cells and boxes, no points
