@@ -39,3 +39,19 @@ def test_a_missing_feature_is_refused(spark):
     df = spark.createDataFrame(pdf).withColumn(FEATURES[5], F.when(F.col("invoice_id") != 7, F.col(FEATURES[5])))
     with pytest.raises(Exception, match="missing or not a number"):
         credit_models.fit_boosted(df, rounds=1)
+
+
+def test_hidden_features(spark):
+    pdf = table(300)
+    df = spark.createDataFrame(pdf)
+    model = credit_models.fit_boosted(df, rounds=5)
+    means = {f: float(pdf[f].mean()) for f in FEATURES}
+    found = credit_models.occlusion(df, model, means)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.toPandas().set_index(["invoice_id", "feature"]).contribution
+    odds = lambda d: d.set_index("invoice_id").score.sort_index().map(lambda p: np.log(p / (1 - p)))
+    full = odds(credit_models.score_boosted(df, model).toPandas())
+    assert len(got) == 300 * len(FEATURES)
+    for f in FEATURES:
+        other = odds(credit_models.score_boosted(df.withColumn(f, F.lit(means[f])), model).toPandas())
+        assert np.allclose(got.xs(f, level="feature").sort_index(), full - other, atol=1e-9)
