@@ -126,7 +126,7 @@ def duplicate_screen(spark, sf):
     reason = (
         F.when(F.col("duplicate_of").isNotNull(), "exact duplicate").when(F.col("cluster") >= 0, "near-duplicate candidate").otherwise("no duplicate signal")
     )
-    dens = dens.withColumnRenamed("first_bill", "duplicate_of")
+    dens = dens.withColumnRenamed("first_bill", "duplicate_of").filter(F.col("row_id").isNotNull())  # a bill without an id takes part, but is not listed
     return shown(dens.select("row_id", "bill_id", "duplicate_of", "core", "cluster", "forest_score", "flagged_by_forest", "robust_z", reason.alias("reason")))
 
 
