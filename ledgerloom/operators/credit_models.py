@@ -69,6 +69,8 @@ def wald_intervals(train: DataFrame, scaler, model) -> dict[str, tuple[float, fl
 
 #: Bins of a feature, rows that its limits are found from, and rounds after which margins are kept.
 BINS, LIMIT_ROWS, KEPT_ROUNDS = 32, 10_000, 8
+#: Instead of a bin, for a node that sends all rows to its left.
+NO_SPLIT = 255
 
 
 @dataclass(frozen=True)
@@ -115,7 +117,7 @@ def _places(codes: list[np.ndarray], feature: np.ndarray, cut: np.ndarray, level
         right = np.zeros(len(at), dtype=bool)
         for k in range(1 << level):
             node = (1 << level) - 1 + k
-            if cut[node] < BINS:
+            if cut[node] != NO_SPLIT:
                 over = codes[feature[node]] > cut[node]
                 right |= over if level == 0 else over & (at == k)
         at = at * 2 + right
@@ -152,6 +154,8 @@ def fit_boosted(train: DataFrame, rounds: int = 200, rate: float = 0.06, depth:
     bins, width = min(BINS, n), len(FEATURES)
     sample = _sampled(data, n, seed)
     limits = [_limits(sample[:, k], min(1.0, LIMIT_ROWS / n) * n, bins) for k in range(width)]
+    bits = max(len(x) for x in limits).bit_length()  # a sample of more rows than expected has more than BINS bins
+    slots = 1 << bits
 
     def pack(batches):
         for b in batches:
@@ -161,7 +165,7 @@ def fit_boosted(train: DataFrame, rounds: int = 200, rate: float = 0.06, depth:
             if not np.isin(y, (0.0, 1.0)).all():
                 raise ValueError("a label is neither 0 nor 1")
             codes += [np.zeros(len(y), np.uint8)] * (width % 2)
-            two = [codes[k].astype(np.uint16) * BINS + codes[k + 1] for k in range(0, len(codes), 2)]
+            two = [codes[k].astype(np.uint16) * slots + codes[k + 1] for k in range(0, len(codes), 2)]
             yield pa.RecordBatch.from_pydict({"two": [np.concatenate(two).tobytes()], "y": [(2 * y - 1).astype(np.int8).tobytes()]})
 
     half = (width + 1) // 2
@@ -170,14 +174,14 @@ def fit_boosted(train: DataFrame, rounds: int = 200, rate: float = 0.06, depth:
         y = np.frombuffer(r["y"], np.int8)
         return np.frombuffer(r["two"], np.uint16).reshape(half, len(y)), y, np.zeros(len(y))
 
-    unpacked = lambda two: [x for t in two for x in ((t >> 5).astype(np.uint8), (t & (BINS - 1)).astype(np.uint8))]
+    unpacked = lambda two: [x for t in two for x in ((t >> bits).astype(np.uint8), (t & (slots - 1)).astype(np.uint8))]
     state = cut_lineage(data.mapInArrow(pack, "two binary, y binary")).rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
 
     def sums(feature, cut, level, pending, first):
         nodes = 1 << level
 
         def partition(blocks):
-            total = np.zeros((2, width + width % 2, nodes, BINS))
+            total = np.zeros((2, width + width % 2, nodes, slots))
             square = np.zeros(nodes)
             for two, y, margin in blocks:
                 codes = unpacked(two) if level or pending else None
@@ -185,11 +189,11 @@ def fit_boosted(train: DataFrame, rounds: int = 200, rate: float = 0.06, depth:
                 r = y.astype(float) if first else 4.0 * y / (1.0 + np.exp(2.0 * y * margin))
                 at = _places(codes, feature, cut, level) if level else np.zeros(len(y), np.uint8)
                 square += np.bincount(at, r * r, nodes)
-                base = at.astype(np.int64) * (BINS * BINS)
+                base = at.astype(np.int64) * (slots * slots)
                 for k in range(half):
                     place = base + two[k]
                     for w, x in ((0, None), (1, r)):
-                        both = np.bincount(place, x, nodes * BINS * BINS).reshape(nodes, BINS, BINS)
+                        both = np.bincount(place, x, nodes * slots * slots).reshape(nodes, slots, slots)
                         total[w, 2 * k] += both.sum(2)
                         total[w, 2 * k + 1] += both.sum(1)
             yield total[:, :width], square
@@ -198,7 +202,7 @@ def fit_boosted(train: DataFrame, rounds: int = 200, rate: float = 0.06, depth:
 
     trees, pending = [], []
     for m in range(rounds):
-        feature, cut = np.zeros((1 << depth) - 1, dtype=int), np.full((1 << depth) - 1, BINS)
+        feature, cut = np.zeros((1 << depth) - 1, dtype=int), np.full((1 << depth) - 1, NO_SPLIT)
         leaf, open_nodes = np.zeros(1 << depth), {0}
         for level in range(depth):
             found = state.mapPartitions(sums(feature, cut, level, list(pending), m == 0)).collect()
@@ -214,11 +218,10 @@ def fit_boosted(train: DataFrame, rounds: int = 200, rate: float = 0.06, depth:
                 for f in range(width):
                     gain[f, len(limits[f]):] = -np.inf
                 gain[(left < 1) | (right < 1)] = -np.inf
-                best = int(np.argmax(gain))
-                f, b = divmod(best, BINS - 1)
+                f, b = divmod(int(np.argmax(gain)), slots - 1) if slots > 1 else (0, 0)
                 span = 1 << (depth - level)
                 pure = level > 0 and abs((square[k] - whole * whole / size) / size) < np.finfo(float).eps
-                if gain[f, b] <= 0 or pure:
+                if slots == 1 or gain[f, b] <= 0 or pure:
                     leaf[k * span:(k + 1) * span] = whole / size
                     continue
                 node = (1 << level) - 1 + k
@@ -253,7 +256,7 @@ def occlusion(df: DataFrame, model: Boosted, means: dict[str, float], id_col: st
 
     All variants of a row are scored where the row is; a hidden feature changes only the trees that split by it.
     """
-    own = {k: [t for t in model.trees if (t[1][t[2] < BINS] == k).any()] for k in range(len(FEATURES))}
+    own = {k: [t for t in model.trees if (t[1][t[2] != NO_SPLIT] == k).any()] for k in range(len(FEATURES))}
     hidden = [_codes([np.array([float(means[f])])], [t])[0][0] for f, t in zip(FEATURES, model.limits)]
 
     @F.pandas_udf("array<double>")

@@ -34,6 +34,16 @@ def test_scores_are_those_of_mllib(spark, n, rounds):
     assert np.allclose(got, want, atol=1e-9)
 
 
+def test_no_feature_differs_and_more_bins_than_expected(spark, monkeypatch):
+    flat = spark.createDataFrame(table(40).assign(**{f: 1.0 for f in FEATURES}))
+    model = credit_models.fit_boosted(flat, rounds=2)
+    assert len({r.score for r in credit_models.score_boosted(flat, model).collect()}) == 1
+    df = spark.createDataFrame(table(500))
+    cut = credit_models._limits
+    monkeypatch.setattr(credit_models, "_limits", lambda values, n, bins: cut(values, n, 40))
+    assert max(len(x) for x in credit_models.fit_boosted(df, rounds=2).limits) > 32
+
+
 def test_a_missing_feature_is_refused(spark):
     pdf = table(50)
     df = spark.createDataFrame(pdf).withColumn(FEATURES[5], F.when(F.col("invoice_id") != 7, F.col(FEATURES[5])))
